@@ -92,6 +92,15 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                 return a, gap - a
         return None
 
+    def triple(gap: int, taken: int) -> tuple[int, int, int] | None:
+        for a in np.flatnonzero(left[1:gap] > 0)[::-1] + 1:
+            a = int(a)
+            if a * 3 < gap:
+                return None
+            if free(a, taken) and (found := pair(gap - a, taken, a)):
+                return a, *found
+        return None
+
     for big in range(capacity, 0, -1):
         while left[big] > 0:
             gap = capacity - big
@@ -104,15 +113,9 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             if found := pair(gap, big):
                 use((big, *found))
                 continue
-            for a in np.flatnonzero(left[1:gap] > 0)[::-1] + 1:
-                a = int(a)
-                if a * 3 < gap:
-                    break
-                if free(a, big) and (found := pair(gap - a, big, a)):
-                    use((big, a, *found))
-                    break
-            else:
+            if not (found := triple(gap, big)):
                 break  # this length has no exact complement
+            use((big, *found))
 
     # best fit of what is left, longest first: bins of the same filling are kept together with their number
     bins: dict[int, list[list]] = {}
