@@ -187,7 +187,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
                 sequence[own], offset[own] = s[i, 1] + rank[own] - s[i, 0], s[i, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _NAMES[:5]), pa.array(sequence), pa.array(offset)], names=[*_NAMES[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(base.select("part", "length", "base"), ["part", "length"]).select(*_NAMES[:5], (F.col("base") + F.col("local_rank")).alias("rank"))
+    ranked = pieces.join(base.select("part", "length", "base").hint("merge"), ["part", "length"]).select(*_NAMES[:5], (F.col("base") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
