@@ -131,7 +131,7 @@ def _spans(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     base = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("rank", "part", "base")
     w = Window.partitionBy("rank", "part").orderBy("doc_id", "uid").rowsBetween(Window.unboundedPreceding, -1)
     occurrence = F.row_number().over(Window.partitionBy("rank", "part", "doc_id", "uid").orderBy("size"))
-    placed = ordered.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("occurrence", occurrence).join(base, ["rank", "part"]).withColumn("start", F.col("start") + F.col("base"))
+    placed = ordered.withColumn("start", F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn("occurrence", occurrence).join(base.hint("merge"), ["rank", "part"]).withColumn("start", F.col("start") + F.col("base"))
     b = F.col("block_words")
     first, last = F.floor(F.col("start") / b).cast("long"), F.floor((F.col("start") + F.col("size") - 1) / b).cast("long")
     each = placed.withColumn("block", F.explode(F.sequence(first, last)))
@@ -152,10 +152,10 @@ def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     sizes, sources, slots, spans = plan_mix(docs, mix)
     uses = slots.groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    taken = spans.join(uses, ["rank", "block"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("uses")).alias("words"))
+    taken = spans.join(uses.hint("merge"), ["rank", "block"]).groupBy("uid").agg(F.sum(F.col("words") * F.col("uses")).alias("words"))
     copies = Window.partitionBy("uid")  # rows alike in all that counts share what was taken of them, to the word
     order = F.row_number().over(copies.orderBy("size")) - 1
-    shared = sizes.join(taken, "uid", "left").withColumn("k", order).withColumn("m", F.count("*").over(copies)).withColumn("words", F.coalesce("words", F.lit(0)))
+    shared = sizes.join(taken.hint("merge"), "uid", "left").withColumn("k", order).withColumn("m", F.count("*").over(copies)).withColumn("words", F.coalesce("words", F.lit(0)))
     taken_of = F.floor(F.col("words") / F.col("m")).cast("long") + F.when(F.col("k") < F.col("words") % F.col("m"), 1).otherwise(0)
     full = shared.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     return full.select("doc_id", "size", "source_size", "target", taken_of.cast("long").alias("taken"))
@@ -166,7 +166,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     (a document taken whole keeps its text as it is); n_chars, where there is such a column, is that text's. What isn't taken goes."""
     _, _, slots, spans = plan_mix(docs, mix)
     uses = slots.groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    used = spans.join(uses, ["rank", "block"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("occurrence", "at", "words", "uses"))).alias("used"))
+    used = spans.join(uses.hint("merge"), ["rank", "block"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("occurrence", "at", "words", "uses"))).alias("used"))
     fields = docs.schema.fields
     names = [f.name for f in fields]
 
@@ -201,7 +201,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     keyed = docs.mapInArrow(add_uid, f"{ddl}, _uid binary").withColumn("_k", F.row_number().over(Window.partitionBy("_uid").orderBy("_uid")))
-    joined = keyed.join(used.select(F.col("uid").alias("_uid"), F.col("used").alias("_used")), "_uid").select(*[F.col(f"`{n}`") for n in names], "_k", "_used")
+    joined = keyed.join(used.select(F.col("uid").alias("_uid"), F.col("used").alias("_used")).hint("merge"), "_uid").select(*[F.col(f"`{n}`") for n in names], "_k", "_used")
     return joined.mapInArrow(cut, ddl)
 
 
