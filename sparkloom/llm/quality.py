@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, table, utf8
+from .common import ASCII_LOWER, materialize, table, utf8
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punct", "other")
@@ -50,6 +50,7 @@ class QualityRules:
     """max_languages bounds the references held by each task: rarer languages are compared with all documents taken together."""
 
     common_words: int = 64
+    common_share: int = 2000
     max_char_distance: float = 0.30
     max_word_distance: float = 0.55
     min_chars: int = 200
@@ -96,50 +97,86 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 _REF = pa.schema([("lang", pa.string()), ("kind", pa.int8()), ("item", pa.binary()), ("n", pa.int64())])
+_REF_DDL = "lang string, kind byte, item binary, n long"
+ALL = "*"
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    classes: dict[str, np.ndarray] = {}
-    words: dict[str, Counter] = {}
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_REF.types)], schema=_REF)
 
-    def out() -> pa.RecordBatch:
-        rows = [(lang, 0, str(k).encode(), int(n)) for lang, c in classes.items() for k, n in enumerate(c) if n]
-        rows += [(lang, 1, w, n) for lang, c in words.items() for w, n in c.items()]
-        classes.clear()
-        words.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _REF.types)] if rows else [pa.array([], t) for t in _REF.types], schema=_REF)
 
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, Counter], dict[str, np.ndarray]]]:
+    """Word counts and class counts by language, of chunks of documents that keep a task's memory bounded."""
+    words: dict[str, Counter] = {}
+    classes: dict[str, np.ndarray] = {}
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data, lang = utf8(text), lang or ""
-            if lang not in classes:
-                classes[lang], words[lang] = np.zeros(7, np.int64), Counter()
+            data = utf8(text)
+            if lang not in words:
+                words[lang], classes[lang] = Counter(), np.zeros(7, np.int64)
             classes[lang] += class_counts(data)
             words[lang].update(data.translate(ASCII_LOWER).split())
-        if sum(map(len, words.values())) > 300_000:  # memory of a task stays bounded; Spark sums the parts
-            yield out()
-    yield out()
+        if sum(map(len, words.values())) > 300_000:
+            yield words, classes
+            words, classes = {}, {}
+    yield words, classes
 
 
 def language_references(docs: DataFrame, rules: QualityRules) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
     """Language -> (class counts, common words, their counts and last that of all others); '*' holds all documents together.
-    Counted over every document; what reaches the driver is at most (max_languages + 1) x (common_words + 9) rows."""
-    parts = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang")).mapInArrow(_count, "lang string, kind byte, item binary, n long")
-    counts = parts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    everything = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit("*").alias("lang"), "kind", "item", "n")
-    counts = counts.unionByName(everything)
-    totals = counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("total")).filter((F.col("total") >= rules.min_language_words) | (F.col("lang") == "*"))
-    totals = totals.orderBy(F.desc("total"), "lang").limit(rules.max_languages + 1)
-    top = counts.join(totals, "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))).filter(F.col("r") <= F.when(F.col("kind") == 1, rules.common_words).otherwise(8))
-    out: dict[str, tuple[np.ndarray, list[bytes], np.ndarray]] = {}
-    for row in top.orderBy("lang", "kind", "r").collect():
-        classes, words, ns = out.setdefault(row.lang, (np.zeros(7), [], [row.total]))
-        if row.kind == 0:
-            classes[int(bytes(row.item))] = row.n
-        else:
-            words.append(bytes(row.item))
-            ns.append(row.n)
-    return {lang: (c, w, np.array([*n[1:], n[0] - sum(n[1:])], float)) for lang, (c, w, n) in out.items()}
+
+    Common are the up to common_words most frequent words of which there is at least one in common_share. Counts are exact and
+    over every document, in two passes. The first adds up, of each chunk of documents, the words that reach half that share
+    within it. What a chunk leaves out is less than half the share of the chunk, so a common word's sum reaches the other half:
+    at most 2 * common_share words of a language do, whatever the corpus. The second counts just those."""
+    spark = docs.sparkSession
+    own = docs.select("text", F.coalesce("lang", F.lit("")).alias("lang"))
+    half = 2 * rules.common_share
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, classes in _by_language(batches):
+            rows = [(lang, 0, b"%d" % k, int(n)) for lang, c in classes.items() for k, n in enumerate(c) if n]
+            every: Counter = Counter()
+            for lang, c in words.items():
+                total = c.total()
+                rows.append((lang, 2, b"", total))
+                rows += [(lang, 1, w, n) for w, n in c.items() if n * half >= total]
+                every.update(c)
+            total = every.total()
+            rows += [(ALL, 1, w, n) for w, n in every.items() if n * half >= total]
+            yield _rows(rows)
+
+    sums, _ = materialize(own.mapInArrow(first, _REF_DDL).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")))
+    add = sums.filter("kind <> 1").groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "kind", "item", "n")
+    sums = sums.unionByName(add)
+    totals = sums.filter("kind = 2").select("lang", F.col("n").alias("total")).filter((F.col("total") >= rules.min_language_words) | (F.col("lang") == ALL))
+    total = {r.lang: r.total for r in totals.orderBy(F.col("lang") != ALL, F.desc("total"), "lang").limit(rules.max_languages + 1).collect()}
+    known = F.broadcast(spark.createDataFrame(list(total.items()), "lang string, total long"))  # max_languages + 1 rows at most
+    kept = sums.join(known, "lang")
+    out: dict[str, tuple[np.ndarray, list[bytes], list[int]]] = {lang: (np.zeros(7), [], []) for lang in total}
+    for r in kept.filter("kind = 0").collect():
+        out[r.lang][0][int(bytes(r.item))] = r.n
+    likely: dict[str, set[bytes]] = {lang: set() for lang in total}
+    for r in kept.filter(f"kind = 1 and n * {half} >= total").select("lang", "item").collect():
+        likely[r.lang].add(bytes(r.item))
+    shared = spark.sparkContext.broadcast(likely)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact = {lang: dict.fromkeys(ws, 0) for lang, ws in shared.value.items()}
+        for words, _ in _by_language(batches):
+            for lang, c in words.items():
+                for key in (lang, ALL):
+                    for w in exact.get(key, ()):
+                        exact[key][w] += c.get(w, 0)
+        yield _rows([(lang, 1, w, n) for lang, ws in exact.items() for w, n in ws.items() if n])
+
+    counts = own.mapInArrow(second, _REF_DDL).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    for r in sorted(counts.collect(), key=lambda r: (-r.n, bytes(r.item))):
+        ws, ns = out[r.lang][1:]
+        if len(ws) < rules.common_words and r.n * rules.common_share >= total[r.lang]:
+            ws.append(bytes(r.item))
+            ns.append(r.n)
+    return {lang: (c, w, np.array([*n, total[lang] - sum(n)], float)) for lang, (c, w, n) in out.items()}
 
 
 OUTPUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
@@ -192,3 +229,70 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("text", "lang", "char_distance", "word_distance")
+
+
+def _classes_sql(where: str) -> str:
+    kinds = ("a-z", "A-Z", "0-9", " \\x09-\\x0D", "#*$%&|<>")
+    counts = [f"length(regexp_replace({where}, '[^{k}]', '', 'g'))" for k in kinds]
+    ascii_ = f"length(regexp_replace({where}, '[^\\x21-\\x7E]', '', 'g'))"
+    other = f"length(regexp_replace({where}, '[\\x00-\\x7F]', '', 'g'))"
+    return "[" + ", ".join([*counts, f"{ascii_} - {counts[0]} - {counts[1]} - {counts[2]} - {counts[4]}", other]) + "]"
+
+
+def _distance_sql(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two lists of counts."""
+    term = "CASE WHEN {0}[i] > 0 THEN {0}[i] / list_sum({0}) * log2(({0}[i] / list_sum({0})) / (({0}[i] / list_sum({0}) + {1}[i] / list_sum({1})) / 2)) ELSE 0.0 END"
+    return f"sqrt(greatest(0.0, list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term.format(p, q)} + {term.format(q, p)})) / 2))"
+
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, {_classes_sql("t")} AS classes FROM d
+), lw AS (
+  SELECT row, lang, translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM (SELECT row, lang, unnest(ws) AS u FROM w)
+), total AS (
+  SELECT lang, count(*) AS total FROM lw GROUP BY lang HAVING count(*) >= 2000 UNION ALL SELECT '*', count(*) FROM lw
+), counts AS (
+  SELECT lang, word, count(*) AS n FROM lw GROUP BY lang, word UNION ALL SELECT '*', word, count(*) FROM lw GROUP BY word
+), common AS (
+  SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r
+  FROM counts JOIN total USING (lang) WHERE n * 2000 >= total QUALIFY r <= 64
+), class_ref AS (
+  SELECT lang, list(n::DOUBLE ORDER BY i) AS q FROM (
+    SELECT lang, i, sum(n) AS n FROM (SELECT lang, unnest(range(1, 8)) AS i, unnest(classes) AS n FROM w UNION ALL SELECT '*', unnest(range(1, 8)), unnest(classes) FROM w) GROUP BY lang, i
+  ) GROUP BY lang
+), word_ref AS (
+  SELECT lang, list(n::DOUBLE ORDER BY r) AS ns, max(total)::DOUBLE AS total FROM common JOIN total USING (lang) GROUP BY lang
+), refs AS (
+  SELECT lang, q, list_append(ns, total - list_sum(ns)) AS wq FROM class_ref JOIN word_ref USING (lang)
+), own AS (
+  SELECT w.*, CASE WHEN lang IN (SELECT lang FROM total) THEN lang ELSE '*' END AS ref FROM w
+), hits AS (
+  SELECT o.row, c.r, count(*) AS n FROM own o JOIN lw USING (row) JOIN common c ON c.lang = o.ref AND c.word = lw.word GROUP BY o.row, c.r
+), hist AS (
+  SELECT o.row, list(coalesce(h.n, 0)::DOUBLE ORDER BY c.r) AS ns FROM own o JOIN common c ON c.lang = o.ref LEFT JOIN hits h ON h.row = o.row AND h.r = c.r GROUP BY o.row
+), lines AS (
+  SELECT row, sum(n - 1) AS n_dup FROM (
+    SELECT row, line, count(*) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY row, line
+  ) GROUP BY row
+), tri AS (
+  SELECT row, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+), twice AS (
+  SELECT row, i FROM tri QUALIFY count(*) OVER (PARTITION BY row, g) > 1
+), repeats AS (
+  SELECT row, count(DISTINCT i + k) AS n_rep FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY row
+), base AS (
+  SELECT o.row, o.doc_id, o.t, o.classes, r.q, r.wq, list_append(h.ns, len(ws) - list_sum(h.ns)) AS wp, len(ws) AS n_words,
+         length(regexp_replace(t, '[ 	-]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words
+  FROM own o LEFT JOIN refs r ON r.lang = o.ref LEFT JOIN hist h ON h.row = o.row LEFT JOIN lines l ON l.row = o.row LEFT JOIN repeats p ON p.row = o.row
+), verdict AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         length(t) >= 200 AND coalesce({_distance_sql("list_transform(classes, lambda c: c::DOUBLE)", "q")} > 0.30, false) AS by_char,
+         n_words >= 50 AND coalesce({_distance_sql("wp", "wq")} > 0.55, false) AS by_word
+  FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT by_char AND NOT by_word AS kept FROM verdict
+"""
