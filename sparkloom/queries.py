@@ -322,19 +322,22 @@ def chat_history(spark: SparkSession, d: str) -> DataFrame:
     return said.select("conv_id", m.alias("m")).select("conv_id", F.array_join(line, "\n").alias("messages"), F.size("m").cast("long").alias("n"))
 
 
-_FRONT_PY = F.concat(F.lit("---\nproject: "), F.col("lang"), F.lit("\n# remark\ntags: [a, 'b c']\nlayer: \""), F.col("source"), F.lit("\"\nproject: last\n---\n"))
+def _fronted():
+    return F.concat(F.lit("---\nproject: "), F.col("lang"), F.lit("\n# remark\ntags: [a, 'b c']\nlayer: \""), F.col("source"), F.lit("\"\nproject: last\n---\n"), F.col("text"))
+
+
 _FRONT_SQL = "'---' || chr(10) || 'project: ' || lang || chr(10) || '# remark' || chr(10) || 'tags: [a, ''b c'']' || chr(10) || 'layer: \"' || source || '\"' || chr(10) || 'project: last' || chr(10) || '---' || chr(10)"
 
 
 @_query("SELECT doc_id, 'last' AS project, source AS layer, 'a,b c' AS tags FROM documents")
 def frontmatter_fallback(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", T.front_matter_map(F.concat(_FRONT_PY, F.col("text"))).alias("m"))
+    own = _t(spark, d, "documents").select("doc_id", T.front_matter_map(_fronted()).alias("m"))
     return own.select("doc_id", *[T.metadata_value(F.lit(""), F.col("m")[k]).alias(k) for k in ("project", "layer", "tags")])
 
 
 @_query(rf"SELECT doc_id, md5(regexp_replace({_FRONT_SQL} || text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', '')) AS digest FROM documents")
 def strip_frontmatter(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.md5(T.strip_front_matter(F.concat(_FRONT_PY, F.col("text")))).alias("digest"))
+    return _t(spark, d, "documents").select("doc_id", F.md5(T.strip_front_matter(_fronted())).alias("digest"))
 
 
 @_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
