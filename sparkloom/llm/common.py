@@ -54,5 +54,16 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def with_columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+def shielded(docs: DataFrame, *taken: str) -> tuple[DataFrame, list]:
+    """docs with the columns that are named, case aside, like one in `taken` under other names, and the columns that give
+    the old names back."""
+    used, names = {c.lower() for c in docs.columns} | {t.lower() for t in taken}, []
+    for c in docs.columns:
+        new = c
+        if c.lower() in {t.lower() for t in taken}:
+            new = f"{c}_own"
+            while new.lower() in used:
+                new += "_"
+            used.add(new.lower())
+        names.append(new)
+    return docs.toDF(*names), [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns)]

@@ -10,7 +10,8 @@ of each class leave a block, never its pairs.
 
 Edge cases: a null text is empty; a text of fewer than n words is the one gram of all its words; texts without words link to
 nothing, not even each other; repeated rows and copies are one class, linked to each other; rows with equal doc_id and
-different texts are told apart; ties need no rule, as links are a set; an empty table gives an empty result; columns beyond
+different texts are told apart; a null doc_id comes after all others, and texts without one that link only to one another have a null
+class_id; ties need no rule, as links are a set; an empty table gives an empty result; columns beyond
 doc_id and text are ignored.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, free_shuffles, materialize, table
+from .common import drop_scratch, free_shuffles, materialize, shielded, table
 from .components import connected_components
 from .hashing import mix, slices
 
@@ -343,8 +344,8 @@ def verified(docs: DataFrame, classes: DataFrame, components: DataFrame, join: J
                 bounds = np.searchsorted(d, np.arange(rows + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array([g[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.large_binary()).cast(pa.binary())], names=["node", "grams"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("rep_h"), "text")
-    wanted = texts.join(placed.select("node", "rep", "rep_h").hint("merge"), ["rep", "rep_h"]).select("node", "text")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    wanted = texts.join(placed.select("node", "rep", "rep_h").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("node", "text")
     held, held_path = materialize(wanted.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]))
     free_shuffles(spark)
     blocks = placed.groupBy("root").agg(F.max("block").alias("last"))
@@ -378,7 +379,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     the same set of grams), n_links (other rows linked to it directly, copies included) of every row."""
     spark = docs.sparkSession
     rows, _ = materialize(sketches(docs, join))
-    first = F.min(F.struct("doc_id", "h"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
     classes = rows.filter("class is not null").groupBy("class").agg(first.alias("f"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.max("sketch").alias("sketch"))
     classes, class_path = materialize(classes.select("class", F.col("f.doc_id").alias("rep"), F.col("f.h").alias("rep_h"), "copies", "n_grams", "sketch"))
     free_shuffles(spark)
@@ -404,10 +405,11 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group the row of least doc_id, with its columns; rows without words all stay, once each."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_text_h", F.xxhash64("text"))
-    own = keyed.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_semi")
-    return own.dropDuplicates(["doc_id", "_text_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = shielded(docs, "_id", "_h", "_text_h")
+    kept = near_duplicates(own).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    keyed = own.withColumn("_text_h", F.xxhash64("text"))
+    left = keyed.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_h") == F.col("_h")), "left_semi")
+    return left.dropDuplicates(["doc_id", "_text_h"]).select(*back)
 
 
 def op1_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,15 +202,27 @@ def read_store(store: DataFrame) -> DataFrame:
     return store.filter("media is not null").select("digest", "media").mapInArrow(run, _READ).dropDuplicates(["digest"])
 
 
+def resolved(sequences: DataFrame, store: DataFrame, *keys: str) -> DataFrame:
+    """keys, i, s (the struct) and, for references, what their payload holds: a row a segment. Only digests and facts are
+    shuffled, never payloads."""
+    each = sequences.select(*keys, F.posexplode_outer("sequence").alias("i", "s"))
+    return each.join(read_store(store).hint("merge"), each["s.digest"] == F.col("digest"), "left")
+
+
 def resolve(sequences: DataFrame, store: DataFrame, key: str = "page_id") -> DataFrame:
-    """sequences with each reference's payload facts in its struct; only digests and facts are shuffled, never payloads."""
-    each = sequences.select(key, F.posexplode_outer("sequence").alias("_i", "s"))
-    facts = read_store(store)
-    joined = each.join(facts, each["s.digest"] == facts["digest"], "left")
+    """sequences with each reference's payload facts in its struct, in the order of the page."""
     got = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("position", "kind", "text", "digest", "source", "caption")], "payload_bytes", "media_bytes", "media_sha256", "feature")
-    return joined.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull(), got))).alias("sequence"))
+    return resolved(sequences, store, key).groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), got))).alias("sequence"))
+
+
+def text_sequences(stored: DataFrame) -> DataFrame:
+    """Documents as sequences of one media reference each, to the payload that holds their text."""
+    none = F.lit(None).cast("string")
+    one = F.struct(F.lit(0).alias("position"), F.lit("image").alias("kind"), none.alias("text"), F.col("digest"), none.alias("source"), none.alias("caption"))
+    return stored.select("doc_id", "n_bytes", F.array(one).alias("sequence"))
 
 
 def op3_interleaved_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, _ = materialize(store_texts(table(spark, sf_dir, "documents")))
-    return stored.select("doc_id", "n_bytes", "digest").join(read_store(stored), "digest").drop("digest")
+    found = resolved(text_sequences(stored), stored, "doc_id", "n_bytes")
+    return found.select("doc_id", "n_bytes", *[c.split()[0] for c in _READ.split(", ")[1:]])

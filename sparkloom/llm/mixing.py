@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, utf8
+from .common import materialize, shielded, table, utf8
 
 
 @dataclass(frozen=True)
@@ -164,6 +164,7 @@ def taken_words(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix as documents: a row for each time a document is used, its text the words taken that time, one space between
     (a document taken whole keeps its text as it is); n_chars, where there is such a column, is that text's. What isn't taken goes."""
+    docs, back = shielded(docs, "_uid", "_used", "_k")
     _, _, slots, spans = plan_mix(docs, mix)
     uses = slots.groupBy("rank", "block").agg(F.count("*").alias("uses"))
     used = spans.join(uses.hint("merge"), ["rank", "block"]).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("occurrence", "at", "words", "uses"))).alias("used"))
@@ -202,7 +203,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     keyed = docs.mapInArrow(add_uid, f"{ddl}, _uid binary").withColumn("_k", F.row_number().over(Window.partitionBy("_uid").orderBy("_uid")))
     joined = keyed.join(used.select(F.col("uid").alias("_uid"), F.col("used").alias("_used")).hint("merge"), "_uid").select(*[F.col(f"`{n}`") for n in names], "_k", "_used")
-    return joined.mapInArrow(cut, ddl)
+    return joined.mapInArrow(cut, ddl).select(*back)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

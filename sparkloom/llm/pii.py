@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shielded, table
 
 KEY = b"sparkloom-demo-key"
 KINDS = ("email", "secret", "iban", "card", "ssn", "date", "ip", "phone")
@@ -241,7 +241,7 @@ COUNTS = [f"n_{k}" for k in KINDS]
 
 def pseudonymize(docs: DataFrame, key: bytes = KEY, back: bool = False, column: str = "text") -> DataFrame:
     """docs with its text pseudonymised (with back: restored) and the number of replacements by kind."""
-    fields = [f for f in docs.schema.fields if f.name not in COUNTS]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in COUNTS]
     at = [f.name for f in fields].index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +259,11 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, back: bool = False, column:
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with text pseudonymised; n_chars is unchanged in length except where an address has more or fewer digits."""
-    done = pseudonymize(docs)
+    own, back = shielded(docs, *COUNTS)
+    done = pseudonymize(own)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return done.select(*back)
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

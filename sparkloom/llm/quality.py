@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, table, utf8
+from .common import ASCII_LOWER, materialize, shielded, table, utf8
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "punct", "other")
@@ -224,7 +224,8 @@ def _verdict(text: str | None, ref: tuple | None, rules: QualityRules) -> tuple:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose verdict is kept, with their columns."""
-    return score_quality(docs).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, back = shielded(docs, *NAMES)
+    return score_quality(own).filter("kept").select(*back)
 
 
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +250,8 @@ OP6_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS lang FROM documents
 ), w AS (
-  SELECT *, regexp_extract_all(t, '[^ 	-]+') AS ws, {_classes_sql("t")} AS classes FROM d
+  SELECT *, regexp_extract_all(t, '[^ 	-
+]+') AS ws, {_classes_sql("t")} AS classes FROM d
 ), lw AS (
   SELECT row, lang, translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM (SELECT row, lang, unnest(ws) AS u FROM w)
 ), total AS (
@@ -275,7 +277,8 @@ WITH d AS (
   SELECT o.row, list(coalesce(h.n, 0)::DOUBLE ORDER BY c.r) AS ns FROM own o JOIN common c ON c.lang = o.ref LEFT JOIN hits h ON h.row = o.row AND h.r = c.r GROUP BY o.row
 ), lines AS (
   SELECT row, sum(n - 1) AS n_dup FROM (
-    SELECT row, line, count(*) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-]') GROUP BY row, line
+    SELECT row, line, count(*) AS n FROM (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY row, line
   ) GROUP BY row
 ), tri AS (
   SELECT row, i, concat_ws(' ', ws[i], ws[i + 1], ws[i + 2]) AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
@@ -285,7 +288,8 @@ WITH d AS (
   SELECT row, count(DISTINCT i + k) AS n_rep FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY row
 ), base AS (
   SELECT o.row, o.doc_id, o.t, o.classes, r.q, r.wq, list_append(h.ns, len(ws) - list_sum(h.ns)) AS wp, len(ws) AS n_words,
-         length(regexp_replace(t, '[ 	-]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(t, '[ 	-
+]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(n_rep, 0) AS n_repeat_words
   FROM own o LEFT JOIN refs r ON r.lang = o.ref LEFT JOIN hist h ON h.row = o.row LEFT JOIN lines l ON l.row = o.row LEFT JOIN repeats p ON p.row = o.row
 ), verdict AS (
