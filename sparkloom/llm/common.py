@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +42,10 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches Spark's cleaner in the second round
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
