@@ -44,7 +44,7 @@ class Repeats:
     length: int = 50
     gram: int = 20
     slice_bytes: int = 1 << 21
-    bucket_bytes: int = 1 << 25
+    bucket_bytes: int = 1 << 23
     chunk_bytes: int = 1 << 20
 
 
