@@ -36,6 +36,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """documents, over all cores even where the table is one small file with one row group."""
+    docs, cores = _t(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "embeddings").select("vec_id", "embedding")
 
@@ -46,7 +52,7 @@ def _vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
 
 def _store(spark: SparkSession, d: str) -> DataFrame:
     """documents as a store would hold them; the time of adding is made of the id."""
-    docs = _t(spark, d, "documents")
+    docs = _texts(spark, d)
     layer = _t(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("layer"))
     path = F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))
     own = docs.join(layer, "doc_id", "left").select("doc_id", path.alias("path"), F.col("source").alias("collection"), F.col("lang").alias("project"), "layer", "text")
@@ -56,7 +62,7 @@ def _store(spark: SparkSession, d: str) -> DataFrame:
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
     """Documents as chunks; those without a vector are met by keyword only."""
     vectors = _vectors(spark, d).withColumnRenamed("vec_id", "chunk_id")
-    return _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("project")).join(vectors, "chunk_id", "left")
+    return _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("project")).join(vectors, "chunk_id", "left")
 
 
 _STORE = """store AS (
@@ -81,7 +87,7 @@ def knn_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT e.vec_id, round({_L2}, 9) AS dist FROM embeddings e SEMI JOIN (SELECT doc_id FROM documents WHERE lang = 'en') s ON s.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY {_L2}, e.vec_id LIMIT 10")
 def knn_filtered(spark: SparkSession, d: str) -> DataFrame:
-    only = _t(spark, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+    only = _texts(spark, d).filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
     return nearest(_vectors(spark, d), _vector(spark, d, 3), 10, key="vec_id", only=only).withColumn("dist", F.round("dist", 9))
 
 
@@ -94,19 +100,19 @@ def knn_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT k AS top_k, n AS n_chunks, least(10 * k, greatest(3 * k, n // 3)) AS pool FROM (SELECT count(*) AS n FROM documents), (SELECT unnest([1, 5, 10, 1000])::BIGINT AS k)")
 def candidate_pools(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "documents").count()
+    n = _texts(spark, d).count()
     return spark.createDataFrame([(k, n, candidate_pool(n, k)) for k in (1, 5, 10, 1000)], "top_k long, n_chunks long, pool long")
 
 
 @_query(f"SELECT doc_id, len(t) AS n_terms, len(list_distinct(t)) AS n_distinct, t[1] AS first_term FROM (SELECT doc_id, {_TERMS.format('text')} AS t FROM documents)")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", T.terms("text").alias("t"))
+    own = _texts(spark, d).select("doc_id", T.terms("text").alias("t"))
     return own.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.try_element_at("t", F.lit(1)).alias("first_term"))
 
 
 @_query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    return term_statistics(postings(_t(spark, d, "documents"), key="doc_id")[0])
+    return term_statistics(postings(_texts(spark, d), key="doc_id")[0])
 
 
 def _bm25_sql(words: list[str], match: str = "any") -> str:
@@ -126,25 +132,25 @@ _WORDS = ["ing", "tion", "pathetic"]
 
 @_query(f"WITH {_bm25_sql(_WORDS)} SELECT chunk_id, round(score, 9) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
     return best(bm25(chunks, query_terms("ing tion, pathetic?")), 20).withColumn("score", F.round("score", 9))
 
 
 @_query(f"WITH {_bm25_sql(['und', 'der'], 'all')} SELECT chunk_id, round(score, 9) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def bm25_and(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
     return best(bm25(chunks, query_terms("und der", "strict"), match="all"), 20).withColumn("score", F.round("score", 9))
 
 
 @_query(f"WITH {_bm25_sql(_WORDS)} SELECT chunk_id, round(score, 9) AS score FROM bm SEMI JOIN (SELECT doc_id FROM documents WHERE source = 'src3') s ON s.doc_id = chunk_id ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id")
+    docs = _texts(spark, d).withColumnRenamed("doc_id", "chunk_id")
     return best(bm25(docs.select("chunk_id", "text"), _WORDS), 20, only=docs.filter("source = 'src3'")).withColumn("score", F.round("score", 9))
 
 
 @_query()
 def bm25_stemmed(spark: SparkSession, d: str) -> DataFrame:
-    chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
     return best(bm25(chunks, query_terms("disgusting losers", stem=True), stem=True), 20).withColumn("score", F.round("score", 9))
 
 
@@ -179,7 +185,7 @@ def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(_rrf_sql(19, _WORDS, 10, "lang = 'en' AND source = 'src1'"))
 def rrf_hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
-    only = _t(spark, d, "documents").filter("lang = 'en' and source = 'src1'").select(F.col("doc_id").alias("chunk_id"))
+    only = _texts(spark, d).filter("lang = 'en' and source = 'src1'").select(F.col("doc_id").alias("chunk_id"))
     return _rrf(spark, d, 19, "ing tion pathetic", 10, only)
 
 
@@ -198,7 +204,7 @@ SELECT query_id, chunk_id, round(rrf, 6) AS score, coalesce(rv, -1) AS vector_ra
 def rrf_batch(spark: SparkSession, d: str) -> DataFrame:
     """The benchmark items as a batch of queries, each with the vector of its number."""
     vectors, top_k = _vectors(spark, d), 10
-    chunks = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
     asked = _t(spark, d, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("vector"))
     pool = candidate_pool(chunks.count(), top_k)
     near = nearest_batch(vectors.withColumnRenamed("vec_id", "chunk_id"), asked, pool + 1).filter("chunk_id <> query_id")
@@ -218,20 +224,20 @@ ch AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS
 
 @_query(f"WITH {_CHUNKED} SELECT doc_id, seq, length(chunk) AS n_chars, md5(chunk) AS digest FROM ch")
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    each = _t(spark, d, "documents").select("doc_id", F.posexplode(T.chunks("text", 200, 40)).alias("seq", "chunk"))
+    each = _texts(spark, d).select("doc_id", F.posexplode(T.chunks("text", 200, 40)).alias("seq", "chunk"))
     return each.select("doc_id", F.col("seq").cast("long").alias("seq"), F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("digest"))
 
 
 @_query(f"WITH {_CHUNKED} SELECT d.source AS collection, count(*) AS chunks, sum(length(chunk))::BIGINT AS chars, max(length(chunk)) AS longest, count(DISTINCT ch.doc_id) AS documents FROM ch JOIN documents d USING (doc_id) GROUP BY d.source")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    each = _t(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id", F.explode(T.chunks("text", 200, 40)).alias("chunk"))
+    each = _texts(spark, d).select(F.col("source").alias("collection"), "doc_id", F.explode(T.chunks("text", 200, 40)).alias("chunk"))
     n = F.length("chunk").cast("long")
     return each.groupBy("collection").agg(F.count("*").alias("chunks"), F.sum(n).alias("chars"), F.max(n).alias("longest"), F.count_distinct("doc_id").alias("documents"))
 
 
 @_query("SELECT doc_id, substr(sha256(source || ':doc://' || doc_id), 1, 32) AS id FROM documents")
 def doc_ids(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", T.document_id("source", F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))).alias("id"))
+    return _texts(spark, d).select("doc_id", T.document_id("source", F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))).alias("id"))
 
 
 _KINDS = ["/a/report.PDF", "/a/b.docx", "/x/main.py", "/x/app.js", "/n/notes.md", "/n/n.txt", "/w/i.html", "/w/data.csv", "/w/none", "HTTPS://e.org/a.pdf"]
@@ -256,7 +262,7 @@ def list_collections(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_CHUNKED} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT source) FROM documents) AS collections, (SELECT count(*) FROM ch) AS chunks")
 def store_stats(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.store_stats(_store(spark, d), _t(spark, d, "documents").select(F.explode(T.chunks("text", 200, 40)).alias("chunk")))
+    return catalog.store_stats(_store(spark, d), _texts(spark, d).select(F.explode(T.chunks("text", 200, 40)).alias("chunk")))
 
 
 @_query(f"WITH {_STORE} SELECT id, path FROM store WHERE contains(lower(path), 'oc://19') AND project = 'en' ORDER BY added_at DESC, id LIMIT 1")
@@ -266,7 +272,7 @@ def find_document(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_bm25_sql(_WORDS)}, h AS (SELECT d.source AS path, chunk_id, round(score, 9) AS score FROM bm JOIN documents d ON d.doc_id = chunk_id) SELECT path, chunk_id, score FROM h QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, chunk_id) = 1")
 def dedupe_sources(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), "text")
+    docs = _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), "text")
     hits = bm25(docs.select("chunk_id", "text"), _WORDS).withColumn("score", F.round("score", 9)).join(docs.select("chunk_id", "path"), "chunk_id")
     return catalog.first_per_path(hits, F.desc("score"), "chunk_id").select("path", "chunk_id", "score")
 
@@ -297,18 +303,18 @@ _GREP = ["Pathetic", "license", "RESERVED", "example.com"]
 
 @_query(f"SELECT doc_id, array_to_string(w, ',') AS words FROM (SELECT doc_id, list_filter([{', '.join(f'''CASE WHEN contains({_LOW.format('text')}, '{w.lower()}') THEN '{w}' END''' for w in _GREP)}], lambda x: x IS NOT NULL) AS w FROM documents) WHERE len(w) > 0")
 def keyword_baseline(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.term_matches(_t(spark, d, "documents"), _GREP, key="doc_id").select("doc_id", F.array_join("words", ",").alias("words"))
+    return catalog.term_matches(_texts(spark, d), _GREP, key="doc_id").select("doc_id", F.array_join("words", ",").alias("words"))
 
 
 @_query(f"SELECT vec_id AS doc_id FROM (SELECT e.vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q ORDER BY {_L2}, e.vec_id LIMIT 50) EXCEPT SELECT doc_id FROM documents WHERE contains({_LOW.format('text')}, 'pathetic')")
 def semantic_only_except(spark: SparkSession, d: str) -> DataFrame:
     near = nearest(_vectors(spark, d), _vector(spark, d, 7), 50, key="vec_id").select(F.col("vec_id").alias("doc_id"))
-    return near.subtract(catalog.term_matches(_t(spark, d, "documents"), ["pathetic"], key="doc_id").select("doc_id"))
+    return near.subtract(catalog.term_matches(_texts(spark, d), ["pathetic"], key="doc_id").select("doc_id"))
 
 
 @_query(f"WITH {_CHUNKED} SELECT doc_id, string_agg('--- Context ' || (seq + 1) || ' [doc ' || doc_id || '] ---' || chr(10) || chunk, chr(10) || chr(10) ORDER BY seq) || chr(10) || chr(10) || 'Question: what?' AS prompt FROM ch GROUP BY doc_id")
 def prompt_context(spark: SparkSession, d: str) -> DataFrame:
-    each = _t(spark, d, "documents").select("doc_id", F.posexplode(T.chunks("text", 200, 40)).alias("seq", "text"))
+    each = _texts(spark, d).select("doc_id", F.posexplode(T.chunks("text", 200, 40)).alias("seq", "text"))
     hits = each.select("doc_id", (F.col("seq") + 1).alias("rank"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), "text")
     return context_blocks(hits, "doc_id").select("doc_id", prompt_column(F.col("prompt"), F.lit("what?")).alias("prompt"))
 
@@ -331,13 +337,13 @@ _FRONT_SQL = "'---' || chr(10) || 'project: ' || lang || chr(10) || '# remark' |
 
 @_query("SELECT doc_id, 'last' AS project, source AS layer, 'a,b c' AS tags FROM documents")
 def frontmatter_fallback(spark: SparkSession, d: str) -> DataFrame:
-    own = _t(spark, d, "documents").select("doc_id", T.front_matter_map(_fronted()).alias("m"))
+    own = _texts(spark, d).select("doc_id", T.front_matter_map(_fronted()).alias("m"))
     return own.select("doc_id", *[T.metadata_value(F.lit(""), F.col("m")[k]).alias(k) for k in ("project", "layer", "tags")])
 
 
 @_query(rf"SELECT doc_id, md5(regexp_replace({_FRONT_SQL} || text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', '')) AS digest FROM documents")
 def strip_frontmatter(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.md5(T.strip_front_matter(_fronted())).alias("digest"))
+    return _texts(spark, d).select("doc_id", F.md5(T.strip_front_matter(_fronted())).alias("digest"))
 
 
 @_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -351,19 +357,19 @@ def debounce_sessions(spark: SparkSession, d: str) -> DataFrame:
 @_query("SELECT doc_id, lang || ',' || source AS tags FROM documents WHERE source = 'src1'")
 def tag_filter(spark: SparkSession, d: str) -> DataFrame:
     """Whole tags: src1 doesn't find src10."""
-    tagged = _t(spark, d, "documents").select("doc_id", F.concat_ws(",", "lang", "source").alias("tags"))
+    tagged = _texts(spark, d).select("doc_id", F.concat_ws(",", "lang", "source").alias("tags"))
     return tagged.filter(catalog.matches(tags="src1"))
 
 
 @_query("SELECT doc_id, lang || ',' || source AS tags FROM documents WHERE contains(lang || ',' || source, 'src1')")
 def tag_filter_substring(spark: SparkSession, d: str) -> DataFrame:
-    tagged = _t(spark, d, "documents").select("doc_id", F.concat_ws(",", "lang", "source").alias("tags"))
+    tagged = _texts(spark, d).select("doc_id", F.concat_ws(",", "lang", "source").alias("tags"))
     return tagged.filter(catalog.matches(tags="SRC1", tag_mode="substring"))
 
 
 @_query(r"SELECT doc_id, substr(text, 1, 120) || '...' AS snippet, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS n_words, md5(regexp_replace(regexp_replace(chr(10) || text || repeat(chr(10), 4) || text || ' ', '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')) AS normalized FROM documents")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents")
+    docs = _texts(spark, d)
     padded = F.concat(F.lit("\n"), "text", F.lit("\n\n\n\n"), "text", F.lit(" "))
     return docs.select("doc_id", T.snippet("text").alias("snippet"), T.word_count("text").cast("long").alias("n_words"), F.md5(T.normalize_whitespace(padded)).alias("normalized"))
 
@@ -380,7 +386,7 @@ def status_summary(spark: SparkSession, d: str) -> DataFrame:
     from .plans.store import status_counts
 
     status = F.when(F.length("text") <= 20, "empty").when(F.col("source") == "src2", "skipped").otherwise("ok")
-    return status_counts(_t(spark, d, "documents").select(status.alias("status")))
+    return status_counts(_texts(spark, d).select(status.alias("status")))
 
 
 @_query()
@@ -397,12 +403,12 @@ def web_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").select("doc_id", F.array_join(stemmed(T.terms("text")), " ").alias("stems"))
+    return _texts(spark, d).select("doc_id", F.array_join(stemmed(T.terms("text")), " ").alias("stems"))
 
 
 @_query()
 def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
     from .functions.models import HashedEmbedder, embed
 
-    each = _t(spark, d, "documents").select("doc_id", F.posexplode(T.chunks("text", 200, 40)).alias("seq", "text"))
+    each = _texts(spark, d).select("doc_id", F.posexplode(T.chunks("text", 200, 40)).alias("seq", "text"))
     return each.select("doc_id", "seq", embed("text", HashedEmbedder()).alias("embedding"))
