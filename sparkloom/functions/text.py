@@ -86,8 +86,8 @@ def windows(token_array: Column | str, size: int, overlap: int) -> Column:
 
 def chunks(c: Column | str, size: int, overlap: int, min_chars: int = 21) -> Column:
     """Stripped window texts of at least min_chars characters, in order."""
-    texts = F.transform(windows(tokens(c), size, overlap), lambda w: stripped(F.array_join(w, "")))
-    return F.filter(texts, lambda t: F.length(t) >= min_chars)
+    kept = lambda a: F.filter(F.transform(windows(a, size, overlap), lambda w: stripped(F.array_join(w, ""))), lambda t: F.length(t) >= min_chars)
+    return F.flatten(F.transform(F.array(tokens(c)), kept))  # transform binds the tokens, which are thus cut once
 
 
 _FRONT = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
@@ -106,17 +106,20 @@ def front_matter_map(c: Column | str) -> Column:
     """key: value lines of the block as a map of strings, quotes and comments gone, the last of equal keys kept;
     a [a, b] value becomes a,b. A fallback for where no YAML parser is wanted."""
     lines = F.filter(F.split(front_matter_block(c), "\n"), lambda x: x.rlike(r"^[^#:]+:") & ~stripped(x).startswith("#"))
-    keys = F.transform(lines, lambda x: stripped(F.regexp_extract(x, r"^([^:]+):", 1)))
 
     def value(x: Column) -> Column:
         v = stripped(F.regexp_extract(x, r"^[^:]+:(.*)$", 1))
         items = F.transform(F.split(F.regexp_extract(v, r"^\[(.*)\]$", 1), ","), lambda i: F.regexp_replace(stripped(i), r"^[\"']|[\"']$", ""))
         return F.when(v.rlike(r"^\[.*\]$"), F.array_join(F.filter(items, lambda i: i != ""), ",")).otherwise(F.regexp_replace(v, r"^[\"']|[\"']$", ""))
 
-    values = F.transform(lines, value)
-    last = F.filter(F.sequence(F.lit(1), F.size(keys)), lambda i: ~F.array_contains(F.slice(keys, i + 1, F.greatest(F.size(keys) - i, F.lit(0))), F.element_at(keys, i)))
-    pairs = F.transform(last, lambda i: F.struct(F.element_at(keys, i), F.element_at(values, i)))
-    return F.when(F.size(lines) > 0, F.map_from_entries(pairs)).otherwise(F.create_map().cast("map<string,string>"))
+    pair = lambda x: F.struct(stripped(F.regexp_extract(x, r"^([^:]+):", 1)).alias("k"), value(x).alias("v"))
+
+    def last_kept(pairs: Column) -> Column:
+        later = lambda i: F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda p: p["k"] == F.element_at(pairs, i + 1)["k"])
+        return F.filter(pairs, lambda p, i: ~later(i))
+
+    bound = F.transform(F.array(F.transform(lines, pair)), last_kept)  # the pairs are made once
+    return F.coalesce(F.map_from_entries(F.element_at(bound, 1)), F.create_map().cast("map<string,string>"))
 
 
 def metadata_value(explicit: Column | str, found: Column | str) -> Column:

@@ -47,8 +47,9 @@ def _weight(tf: Column, length: Column, average: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def _occurrences(word: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == word))
+def _counts(words: list[str]):
+    """Of an array of terms: its length, and how often each word is in it."""
+    return lambda t: F.struct(F.size(t).alias("length"), *[(F.size(t) - F.size(F.array_remove(t, w))).alias(f"tf{i}") for i, w in enumerate(words)])
 
 
 def bm25(chunks: DataFrame, words: list[str], *, key: str = "chunk_id", match: str = "any", stem: bool = False) -> DataFrame:
@@ -57,9 +58,8 @@ def bm25(chunks: DataFrame, words: list[str], *, key: str = "chunk_id", match: s
     if not words:
         return chunks.select(key, F.lit(0.0).alias("score")).limit(0)
     own = terms("text")
-    t = chunks.select(key, (stemmed(own) if stem else own).alias("t"))
-    counts = [_occurrences(w).alias(f"tf{i}") for i, w in enumerate(words)]
-    scan = t.select(key, F.size("t").alias("length"), *counts)
+    # bound once by transform, and kept apart from what filters on it by the generator: a text is split once a scan
+    scan = chunks.select(key, F.inline(F.transform(F.array(stemmed(own) if stem else own), _counts(words))))
     tf = [F.col(f"tf{i}") for i in range(len(words))]
     stats = scan.agg(F.count("*").alias("n"), F.avg("length").alias("average"), *[F.sum((c > 0).cast("long")).alias(f"df{i}") for i, c in enumerate(tf)]).first()
     if not stats.n:

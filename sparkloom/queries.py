@@ -59,12 +59,6 @@ def _store(spark: SparkSession, d: str) -> DataFrame:
     return own.select(T.document_id("collection", "path").alias("id"), "path", T.title("path").alias("title"), "collection", "project", "layer", (F.lit(1_700_000_000) + F.col("doc_id") % 97).alias("added_at"), "doc_id", "text")
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as chunks; those without a vector are met by keyword only."""
-    vectors = _vectors(spark, d).withColumnRenamed("vec_id", "chunk_id")
-    return _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text", F.col("lang").alias("project")).join(vectors, "chunk_id", "left")
-
-
 _STORE = """store AS (
   SELECT substr(sha256(d.source || ':doc://' || d.doc_id), 1, 32) AS id, 'doc://' || d.doc_id AS path, d.source AS collection, d.lang AS project, l.layer, 1700000000 + d.doc_id % 97 AS added_at, d.doc_id, d.text
   FROM documents d LEFT JOIN (SELECT doc_id, max(quality)::VARCHAR AS layer FROM labels GROUP BY doc_id) l USING (doc_id)
@@ -173,8 +167,10 @@ def _ranks() -> list:
 
 
 def _rrf(spark: SparkSession, d: str, vec_id: int, text: str, top_k: int, only: DataFrame | None = None) -> DataFrame:
-    chunks = _chunks(spark, d).withColumn("embedding", F.when(F.col("chunk_id") != vec_id, F.col("embedding")))
-    hits = search(chunks, _vector(spark, d, vec_id), text, top_k=top_k, only=only)
+    chunks = _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text")
+    vectors = _vectors(spark, d).withColumnRenamed("vec_id", "chunk_id").filter(F.col("chunk_id") != vec_id).join(_t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    n = _t(spark, d, "documents").count()
+    hits = search(chunks, _vector(spark, d, vec_id), text, top_k=top_k, only=only, vectors=vectors, n_chunks=n)
     return hits.select("chunk_id", "score", *_ranks())
 
 
