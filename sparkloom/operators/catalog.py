@@ -47,8 +47,8 @@ def first_per_path(hits: DataFrame, *order) -> DataFrame:
 
 def term_matches(texts: DataFrame, words: list[str], *, key: str = "path") -> DataFrame:
     """key and the words (ASCII case aside, as given and in that order) that its text holds as substrings."""
-    low = ascii_lower("text")
-    found = F.filter(F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words]), lambda x: x.isNotNull())
+    held = lambda t: F.filter(F.array(*[F.when(F.contains(t, F.lit(w.lower())), F.lit(w)) for w in words]), lambda x: x.isNotNull())
+    found = F.explode(F.transform(F.array(ascii_lower("text")), held))  # one row each; the folded text is made once
     return texts.select(key, found.alias("words")).filter(F.size("words") > 0)
 
 
