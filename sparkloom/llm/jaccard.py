@@ -2,9 +2,9 @@
 
 Texts become sets of word n-grams; equal sets are one class. A class's set is embedded as minhash tokens (place, value).
 From the root every tree node samples two places, and a class goes on to the child of each by the token it has there, so
-classes meet where they share the sampled tokens. After `depth` levels buckets of one are dropped; a bucket is split on
-further in memory while it is large, and small or indivisible ones are compared by their sketches. Runs of the tree are
-repeated until a pair at the threshold is met with the target recall. Connected candidates are then verified exactly: all
+classes meet where they share the sampled tokens. After `depth` levels buckets of one are dropped, and all classes of any
+other are compared by their sketches, so recall doesn't depend on a bucket's size. Runs of the tree are repeated until a
+pair at the threshold is met with the target recall. Connected candidates are then verified exactly: all
 pairs within them, in blocks of bounded size, by set intersection. Only a spanning forest of links and the number of links
 of each class leave a block, never its pairs.
 
@@ -40,8 +40,6 @@ class Join:
     target_recall: float = 0.97
     places: int = 64
     depth: int = 3
-    most_depth: int = 8
-    small: int = 64
     slack: float = 0.15
     block_weight: int = 1 << 21
     seed: int = 7
@@ -210,41 +208,26 @@ def shared_leaves(keys: DataFrame) -> DataFrame:
 def _near(sketch: np.ndarray, least: int) -> Iterator[np.ndarray]:
     """Components (arrays of rows) of the graph of rows that agree in at least `least` places. A row taken off is only
     compared with rows not yet reached, so a dense group costs little more than its size."""
-    left = np.arange(len(sketch))
+    left, open_ = np.arange(len(sketch)), np.ascontiguousarray(sketch.T)
+    counts = np.min_scalar_type(sketch.shape[1])  # agreements are added up place by place, in bytes where they fit
     while len(left):
-        found, todo, left = [left[:1]], [left[0]], left[1:]
+        found, todo, left, open_ = [left[:1]], [left[0]], left[1:], open_[:, 1:]
         while todo and len(left):
             u = todo.pop()
-            near = (sketch[left] == sketch[u]).sum(1) >= least
+            near = (open_ == sketch[u][:, None]).view(np.uint8).sum(0, dtype=counts) >= least
             if near.any():
                 found.append(left[near])
                 todo.extend(left[near])
-                left = left[~near]
+                left, open_ = left[~near], open_[:, ~near]
         yield np.concatenate(found)
 
 
-def split_bucket(ids: np.ndarray, sketch: np.ndarray, join: Join, way: tuple[int, ...] = (), depth: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning edges of the candidate pairs in a bucket: split by sampled shared tokens while large, then compared."""
-    depth = join.depth if depth is None else depth
+def split_bucket(ids: np.ndarray, sketch: np.ndarray, join: Join) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning edges of the candidate pairs in a bucket, whatever its size: all that agree in enough places, as a pair that
+    had to share further tokens would be lost the more often the larger its bucket is."""
     if len(ids) < 2:
         return
-    least = int(math.ceil((join.threshold - join.slack) * join.places))
-    rest = [p for p in range(join.places) if p not in way]
-    if len(ids) > join.small and depth < join.most_depth and len(rest) >= 2:
-        # an indivisible bucket, as of near copies of one text, is compared at once
-        rng = np.random.default_rng([join.seed, depth, len(ids)])
-        for p in rng.choice(rest, 2, replace=False):
-            values, inverse = np.unique(sketch[:, p], return_inverse=True)
-            largest = np.bincount(inverse).max()
-            if largest > 0.9 * len(ids):
-                break
-        else:
-            for p in rng.choice(rest, 2, replace=False):
-                order = np.argsort(sketch[:, p], kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(sketch[order, p])) + 1):
-                    yield from split_bucket(ids[part], sketch[part], join, (*way, int(p)), depth + 1)
-            return
-    for part in _near(sketch, least):
+    for part in _near(sketch, int(math.ceil((join.threshold - join.slack) * join.places))):
         if len(part) > 1:
             own = ids[part]
             yield own[own != own.min()], np.full(int((own != own.min()).sum()), own.min())

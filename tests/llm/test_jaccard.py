@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from helpers import SCHEMA, awkward, edited, prose
 
 from sparkloom.llm.components import connected_components
@@ -61,6 +62,21 @@ def test_split_bucket_finds_what_is_there():
     assert max(edges[0]) < 150
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.55, 0.6])
+def test_large_bucket_loses_no_pair(similarity):
+    """Pairs at and just over the threshold in a bucket of 4,000, whose rows share hot tokens, are met as in a small one."""
+    rng = np.random.default_rng(3)
+    sketch = rng.integers(0, 256, (4000, 64)).astype(np.uint8)
+    hot = rng.random((4000, 64)) < 0.2
+    sketch[hot] = rng.integers(0, 4, int(hot.sum()))
+    same = rng.random((2000, 64)) < similarity
+    sketch[1::2][same] = sketch[::2][same]
+    met = {frozenset((int(a), int(b))) for x, y in split_bucket(np.arange(4000), sketch, Join()) for a, b in zip(x, y)}
+    pairs = [frozenset((2 * i, 2 * i + 1)) for i in range(2000)]
+    assert all(p in met for p, agree in zip(pairs, (sketch[::2] == sketch[1::2]).sum(1)) if agree >= 23)
+    assert sum(p in met for p in pairs) >= 0.98 * len(pairs)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (20, 3)] + [(100, 100 + i) for i in range(1, 50)] + [(i, i + 1) for i in range(200, 240)]
     roots = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
