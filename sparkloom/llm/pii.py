@@ -95,8 +95,8 @@ _REST = (
     r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\w]))",
 )
 _SCAN = re.compile("|".join((_EMAIL, _SECRET, *_REST)))
-#: Any match holds one of these, so most texts are passed over at once.
-_HINT = re.compile(r"@|\d{2}|AKIA|gh[pousr]_|sk-|[=:]\s*[\"']?[A-Za-z0-9_+/=-]{16}")
+#: Any match holds one of these (an address or a card may have no two digits in a row), so most texts are passed over at once.
+_HINT = re.compile(r"@|\d{2}|\d[ .-]\d|AKIA|gh[pousr]_|sk-|[=:]\s*[\"']?[A-Za-z0-9_+/=-]{16}")
 _PREFIX = re.compile(r"AKIA|gh[pousr]_|sk-|(?i:token|secret|api[_-]?key|passw(?:or)?d)\s*[:=]\s*[\"']?")
 _EPOCH, _DAYS = datetime.date(1900, 1, 1), 73049  # 1900 to 2099
 

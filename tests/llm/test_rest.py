@@ -42,6 +42,29 @@ def test_pseudonyms_keep_format_and_come_back():
         assert p.text(c) == (c, {})
 
 
+SHORTEST = {
+    "email": ["a@b.co"],
+    "secret": ["AKIA" + "A" * 16, "ghp_" + "a" * 36, "sk-" + "a" * 20, "token=" + "a" * 16, "key " * 2 + "password: " + "a" * 16],
+    "iban": ["NO" + pii.iban_check("NO", "ABCDEFGHIJK") + "ABCDEFGHIJK"],
+    "card": [" ".join("400000000000" + pii.luhn_digit("400000000000")), "-".join("400000000000" + pii.luhn_digit("400000000000"))],
+    "ssn": ["001-01-0001"],
+    "date": ["2000-01-01", "1/1/2000"],
+    "ip": ["8.8.8.8", "1.1.1.1"],
+    "phone": ["+1 23 45 678", "(123) 456-7890", "123-456-7890"],
+}
+
+
+@pytest.mark.parametrize("kind", pii.KINDS)
+def test_shortest_forms_pass_the_hint(kind):
+    """A value that stands alone in its text is replaced as it is beside others, and comes back."""
+    p = pii.Pseudonyms()
+    for value in SHORTEST[kind]:
+        new, found = p.text(f"see {value} there")
+        assert found == {kind: 1} and new != f"see {value} there"
+        assert p.text(new, back=True)[0] == f"see {value} there"
+        assert p.text(f"see {value} there 77")[0] == f"{new} 77"
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for n in (2, 3, 10, 97, 1000):
