@@ -13,6 +13,7 @@ repeated rows are scored each; an empty table gives an empty result; columns bey
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,13 +90,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 def swapped(text: str, groups: tuple[tuple[str, ...], ...]) -> str | None:
     """The text with every group term replaced by the next of its group; None if it names none."""
     after = {w: g[(i + 1) % len(g)] for g in groups for i, w in enumerate(g)}
-    words, found = text.split(" "), False
+    words, found = re.split("([ \t\n\x0b\x0c\r]+)", text), False  # the white space that parts features
     for i, w in enumerate(words):
-        bare = w.strip(".,;:!?\"'()[]\n").lower()
+        bare = w.strip(".,;:!?\"'()[]").lower()
         if bare in after:
             words[i] = w.lower().replace(bare, after[bare])
             found = True
-    return " ".join(words) if found else None
+    return "".join(words) if found else None
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from helpers import prose, words
@@ -159,6 +160,22 @@ def test_counterfactual_penalty_evens_group_terms():
     assert toxicity.swapped("Some women, here", toxicity.GROUPS) == "Some men, here" and toxicity.swapped("none", toxicity.GROUPS) is None
 
 
+def test_training_evens_group_terms_beside_any_white_space(spark):
+    """Labels skewed towards a group term that stands between line ends and tabs: the penalty takes its weight away."""
+    rows = []
+    for i in range(600):
+        rng = random.Random(i)
+        y = int(i % 3 == 0)
+        group = "women" if rng.random() < (0.8 if y else 0.2) else "men"
+        rows.append((i, f"{prose(i, 30)}\n{group}\t{prose(i + 1000, 10)}" + (" wretched scum" if y and rng.random() < 0.7 else ""), y))
+    own = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = own.selectExpr("doc_id", "y as toxic")
+    probe = pa.array(["some\nwomen\there", "some\nmen\there", "some wretched scum here"])
+    plain, fair = (toxicity.train(own, labels, toxicity.Toxicity(counterfactual=c)).score(probe) for c in (0.0, 5.0))
+    assert abs(fair[0] - fair[1]) < 0.3 * abs(plain[0] - plain[1]) and fair[2] > 0.7
+    assert toxicity.swapped("Some\nwomen,\there  and", toxicity.GROUPS) == "Some\nmen,\there  and"
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
