@@ -55,17 +55,47 @@ def _office(data: bytes, member: str) -> str:
         out = []
         for name in sorted(n for n in z.namelist() if n.startswith(member) and n.endswith(".xml")):
             for e in ElementTree.fromstring(z.read(name)).iter():
-                if e.tag.endswith("}p") or e.tag.endswith("}si"):
+                if e.tag.endswith("}p"):
                     out.append("".join(t.text or "" for t in e.iter() if t.tag.endswith("}t")))
         return "\n".join(out)
 
 
+def _workbook(data: bytes) -> str:
+    """Rows of the sheets of an .xlsx file, by sheet number, the filled cells of each parted as those of .csv; dates are the
+    numbers they are stored as, formulas their last values."""
+
+    def named(e: ElementTree.Element, *tags: str) -> Iterator[ElementTree.Element]:
+        return (x for x in e.iter() if x.tag.rpartition("}")[2] in tags)
+
+    def string(e: ElementTree.Element) -> str:
+        sounds = {t for r in named(e, "rPh") for t in r.iter()}  # phonetic guides aren't the cell's text
+        return "".join(t.text or "" for t in named(e, "t") if t not in sounds)
+
+    def value(c: ElementTree.Element) -> str:
+        v = next((x.text or "" for x in named(c, "v")), "")
+        kind = c.get("t")
+        if kind == "inlineStr":
+            return string(c)
+        if kind == "s":
+            return shared[int(v)] if v else ""
+        return ("TRUE" if v == "1" else "FALSE") if kind == "b" and v else v
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = z.namelist()
+        shared = [string(e) for e in named(ElementTree.fromstring(z.read("xl/sharedStrings.xml")), "si")] if "xl/sharedStrings.xml" in names else []
+        sheets = [(int(m[1]), n) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n))]
+        rows = [[value(c) for c in named(r, "c")] for _, n in sorted(sheets) for r in named(ElementTree.fromstring(z.read(n)), "row")]
+        return "\n".join(" | ".join(filter(None, r)) for r in rows if any(r))
+
+
 def parse_bytes(data: bytes, ext: str) -> str:
     """Text of a file by its suffix. PDF needs a parser that isn't part of this package, and is an error without one."""
     if ext in (".html", ".htm"):
         text = html_text(data.decode("utf-8", "replace"))
-    elif ext in (".docx", ".pptx", ".xlsx"):
-        text = _office(data, {".docx": "word/document", ".pptx": "ppt/slides/slide", ".xlsx": "xl/sharedStrings"}[ext])
+    elif ext in (".docx", ".pptx"):
+        text = _office(data, {".docx": "word/document", ".pptx": "ppt/slides/slide"}[ext])
+    elif ext == ".xlsx":
+        text = _workbook(data)
     elif ext == ".csv":
         text = "\n".join(" | ".join(row) for row in csv.reader(io.StringIO(data.decode("utf-8", "replace"))))
     elif ext == ".pdf":
