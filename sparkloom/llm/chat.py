@@ -5,8 +5,8 @@ with a loss flag. Control strings within texts are escaped so that the output ca
 
 Edge cases: a null text or role is empty; roles the template lacks are marked with their (escaped) name and never carry
 loss; turns are ordered by turn (null first), ties by role and then text; repeated rows are repeated turns; a null conv_id
-is a conversation of its own; a bad turn order is reported in `valid` and formatted all the same; an empty table gives an
-empty result; further columns are ignored.
+is a conversation of its own; a bad turn order is reported in `valid` and formatted all the same; texts and conversations of any
+length are read as a stream; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,24 +72,42 @@ class Codec:
 
     def parse(self, formatted: str) -> list[tuple[str, str]]:
         """The turns of formatted text; raises ValueError unless marks cover all of it."""
-        turns, end = [], 0
-        for m in self._turn.finditer(formatted):
-            if m.start() != end:
-                break
-            end = m.end()
-            if m["_name"] is not None:
-                turns.append((self.unescape(m["_name"]), self.unescape(m["_text"])))
-            else:
-                role = m.lastgroup
-                turns.append((role, self.unescape(m[role])))
-        if end != len(formatted):
-            raise ValueError(f"no turn at {end}: {formatted[end : end + 40]!r}")
+        reader = Reader(self)
+        turns = [(role, text) for role, text, _ in reader.feed(formatted)]
+        reader.end()
         return turns
 
     def step(self, state: str | None, role: str) -> str | None:
         return self.template.order.get(state, {}).get(role) if state else None
 
 
+class Reader:
+    """Reads formatted text, and the mask that says which of its characters carry loss, back to turns. Both come in pieces
+    that needn't end where turns do: a turn is known by its marks alone, and what is held is at most one turn and a piece."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.buffer, self.mask, self.at = codec, "", [], 0
+
+    def feed(self, piece: str, loss: list[tuple[int, int]] | None = None) -> Iterator[tuple[str, str, str]]:
+        """(role, text, unescaped text under the mask) of each turn that ends in what was fed so far; loss: the spans of
+        the piece that carry it."""
+        start = len(self.buffer)
+        self.buffer += piece
+        self.mask += [(start + a, start + b) for a, b in loss or []]
+        end = 0
+        while m := self.codec._turn.match(self.buffer, end):
+            under = "".join(self.buffer[max(a, end) : min(b, m.end())] for a, b in self.mask if b > end and a < m.end())
+            role, text = (m["_name"], m["_text"]) if m["_name"] is not None else (m.lastgroup, m[m.lastgroup])
+            yield self.codec.unescape(role) if m["_name"] is not None else role, self.codec.unescape(text), self.codec.unescape(under)
+            end = m.end()
+        self.buffer, self.at = self.buffer[end:], self.at + end
+        self.mask = [(max(a - end, 0), b - end) for a, b in self.mask if b > end]
+
+    def end(self) -> None:
+        if self.buffer:
+            raise ValueError(f"no turn at {self.at}: {self.buffer[:40]!r}")
+
+
 def format_turns(turns: Iterable[tuple[str, str]], template: Template = LLAMA) -> tuple[list[tuple[str, bool]], bool]:
     """Segments of a whole conversation, and whether its turn order is valid."""
     codec, state, out = Codec(template), "start", []
@@ -129,19 +147,19 @@ _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 def digest_conversations(conversations: DataFrame, template: Template = LLAMA) -> DataFrame:
-    """Digests of each conversation as read back from its formatted turns, which are parsed and unescaped one by one."""
+    """Digests of each conversation, read back from its formatted text and that text's loss mask: both are written turn by
+    turn into one stream, which is parsed by its marks alone and unescaped, so a conversation of any length is never held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, rows = Codec(template), []
-        last, first = None, True
-
-        def begin() -> list:
-            return [0, hashlib.sha256(), 0, hashlib.sha256(), 0, "start"]
+        last, acc = None, None
 
-        acc = begin()
+        def begin() -> dict:
+            return {"reader": Reader(codec), "n": 0, "turns": hashlib.sha256(), "loss_n": 0, "loss": hashlib.sha256(), "size": 0, "state": "start"}
 
         def end() -> None:
-            rows.append((last, acc[0], acc[1].hexdigest(), acc[2], acc[3].hexdigest(), acc[4], acc[5] in template.final))
+            acc["reader"].end()
+            rows.append((last, acc["n"], acc["turns"].hexdigest(), acc["loss_n"], acc["loss"].hexdigest(), acc["size"], acc["state"] in template.final))
 
         def out() -> pa.RecordBatch:
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
@@ -151,24 +169,24 @@ def digest_conversations(conversations: DataFrame, template: Template = LLAMA) -
 
         for batch in batches:
             for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-                if first or conv != last:
-                    if not first:
+                if acc is None or conv != last:
+                    if acc is not None:
                         end()
-                    last, first, acc = conv, False, begin()
-                segments = codec.segments(role, text)
-                formatted = "".join(t for t, _ in segments)
-                for r, t in codec.parse(formatted):
-                    acc[0] += 1
-                    acc[1].update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
-                for t, loss in segments:
-                    if loss:
-                        plain = codec.unescape(t)
-                        acc[2] += len(plain)
-                        acc[3].update(plain.encode("utf-8", "surrogatepass"))
-                acc[4] += len(formatted)
-                acc[5] = codec.step(acc[5], role)
+                    last, acc = conv, begin()
+                formatted, loss = "", []
+                for t, carries in codec.segments(role, text):
+                    if carries and t:
+                        loss.append((len(formatted), len(formatted) + len(t)))
+                    formatted += t
+                acc["size"] += len(formatted)
+                for r, t, under in acc["reader"].feed(formatted, loss):
+                    acc["n"] += 1
+                    acc["turns"].update(f"{r}\n{t}\n".encode("utf-8", "surrogatepass"))
+                    acc["loss_n"] += len(under)
+                    acc["loss"].update(under.encode("utf-8", "surrogatepass"))
+                    acc["state"] = codec.step(acc["state"], r)
             yield out()
-        if not first:
+        if acc is not None:
             end()
         yield out()
 
@@ -182,14 +200,17 @@ def op8_role_machine_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_conversations(rows)
 
 
-_ESC = r"""regexp_replace(regexp_replace(text, '\\', '\\\\', 'g'), '(<|\[)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])', '\1\\\2', 'g')"""
+def _escaped_sql(column: str) -> str:
+    return rf"""regexp_replace(regexp_replace({column}, '\\', '\\\\', 'g'), '(<|\[)(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])', '\1\\\2', 'g')"""
+
+
 OP8_SQL = rf"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)
 ), steps AS (
   SELECT *, lag(role) OVER w AS before, lead(role) OVER w AS after,
-         length({_ESC}) + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 END AS n
+         length({_escaped_sql("text")}) + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 16 WHEN 'assistant' THEN 10 ELSE 25 + length({_escaped_sql("role")}) END AS n
   FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,

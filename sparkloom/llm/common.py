@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,19 +18,38 @@ _own_folder: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """A new path in the folder all executors share (spark.checkpoint.dir). Where that is unset, a temporary folder serves if
+    all tasks run on this machine, and it is an error if they don't: each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own_folder:
             _own_folder.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
         base = _own_folder[0]
     return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the plans run within are deleted as each of them ends, as their result is written by then."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the scratch folder and return it as read back, with its path: lineage ends here and lost executors cost nothing."""
+    """Write df as Parquet in the scratch folder and return it as read back, with its path: lineage ends here and lost executors cost nothing.
+    What drop_scratch() hasn't deleted by then goes when the driver ends."""
     spark, path = df.sparkSession, scratch_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -40,14 +60,6 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are no longer referenced."""
-    for _ in range(2):  # what Python lets go of reaches Spark's cleaner in the second round
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, free_shuffles, materialize, shielded, table
+from .common import drop_scratch, materialize, shielded, table
 from .components import connected_components
 from .hashing import mix, slices
 
@@ -330,7 +330,6 @@ def verified(docs: DataFrame, classes: DataFrame, components: DataFrame, join: J
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     wanted = texts.join(placed.select("node", "rep", "rep_h").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select("node", "text")
     held, held_path = materialize(wanted.mapInArrow(sets, "node long, grams binary").dropDuplicates(["node"]))
-    free_shuffles(spark)
     blocks = placed.groupBy("root").agg(F.max("block").alias("last"))
     tasks = placed.join(blocks.hint("merge"), "root").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
     tasks = tasks.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies")
@@ -353,7 +352,6 @@ def verified(docs: DataFrame, classes: DataFrame, components: DataFrame, join: J
 
     out, _ = materialize(rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long, links long"))
     drop_scratch(spark, placed_path, held_path)
-    free_shuffles(spark)
     return out
 
 
@@ -365,9 +363,7 @@ def near_duplicates(docs: DataFrame, join: Join = Join()) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))
     classes = rows.filter("class is not null").groupBy("class").agg(first.alias("f"), F.count("*").alias("copies"), F.max("n_grams").alias("n_grams"), F.max("sketch").alias("sketch"))
     classes, class_path = materialize(classes.select("class", F.col("f.doc_id").alias("rep"), F.col("f.h").alias("rep_h"), "copies", "n_grams", "sketch"))
-    free_shuffles(spark)
     found, found_path = materialize(connected_components(candidate_edges(classes, join)))
-    free_shuffles(spark)
     checked = verified(docs, classes, found, join)
     groups = connected_components(checked.filter("b is not null").select("a", "b"))
     degree = checked.filter("links is not null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))

@@ -6,12 +6,14 @@ are consumed under availability counts, the rest goes best-fit. The plan is then
 within their length.
 
 Edge cases: a null text is empty and gives the single end token; repeated rows, and rows with one doc_id or none, are
-packed each on its own; an empty table gives an empty result; columns beyond doc_id and text are ignored.
+packed each on its own; a special token's string in a text is that token (or, if so asked, ordinary text); a text of any
+length is cut into as many pieces as it needs; an empty table gives an empty result; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,13 +30,18 @@ CAPACITY, END = 2048, 0
 VOCABULARY = "byte_bpe_50k"
 
 
-def _encoder(vocabulary: str):
-    """The vocabulary of {name}.json, as ranks: same ids as the tokenizers library gives (tested over every code point), at four times its speed."""
+def _encoder(vocabulary: str, special_as_text: bool = False):
+    """text -> ids, as the tokenizers library gives them for {name}.json with add_special_tokens=False, at four times its
+    speed (tested over every code point). A special token's string in a text is that token, as in the library's plain call;
+    with special_as_text it is ordinary text."""
     import public_tokenizers
     import tiktoken
 
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb"))}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {t["content"]: t["id"] for t in json.load(open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8"))["added_tokens"]}
+    own = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={} if special_as_text else special)
+    allowed = own.special_tokens_set
+    return lambda text: own.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
@@ -42,11 +49,11 @@ _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()
 _NAMES = [x.split()[0] for x in _PIECES.split(", ")]
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, special_as_text: bool = False) -> DataFrame:
     """One row a piece; (part, length, local_rank) is a key as long as this frame is written before it is used."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = _encoder(vocabulary).encode_to_numpy, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, part, seen = _encoder(vocabulary, special_as_text), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -167,10 +174,10 @@ def _slots(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[int,
     return {x: np.array(r, np.int64) for x, r in rows.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, special_as_text: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    pieces, _ = materialize(token_pieces(docs, capacity, vocabulary))
+    pieces, _ = materialize(token_pieces(docs, capacity, vocabulary, special_as_text))
     local = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     base = local.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     base, _ = materialize(base.select("part", "length", "n", F.coalesce("base", F.lit(0)).alias("base")))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, free_shuffles, materialize, table, utf8
+from .common import drop_scratch, materialize, table, utf8
 from .hashing import Slice
 from .jaccard import grouped
 
@@ -390,9 +390,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), with_text: bool = Fa
     total = slices.agg(F.sum(F.length("data"))).first()[0] or 0
     buckets = max(1, -(-total // p.bucket_bytes))
     judged, _ = materialize(_judge(_send(slices, buckets, p)))
-    free_shuffles(spark)
     parts, _ = materialize(_index(_fetch(slices, judged), p))
-    free_shuffles(spark)
     return _apply(slices, judged.filter("not fetch").select("slice", "begin", "size"), parts, with_text)
 
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from helpers import prose
 from tokenizers import Tokenizer
 
@@ -12,7 +13,6 @@ from sparkloom.llm.packing import _encoder, pack, plan_packing
 
 def brute(rows, capacity):
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     out = []
     for doc_id, text in rows:
         ids = np.array([*tk.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -66,14 +66,18 @@ def test_complements_fill_exactly():
     assert sum(n for _, n in plan_packing({70: 2, 20: 2, 10: 2, 85: 1, 5: 3}, 100)) == 3
 
 
-def test_same_ids_as_the_tokenizers_library():
+@pytest.mark.parametrize("as_text", [False, True])
+def test_same_ids_as_the_tokenizers_library(as_text):
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
-    own = _encoder("byte_bpe_50k")
-    points = [c for c in range(1, 0x30000, 3) if not 0xD800 <= c < 0xE000]
-    texts = [f"a{chr(c)}1 {chr(c)}b  {chr(c)} '{chr(c)}s" for c in points]
+    tk.encode_special_tokens = as_text
+    own = _encoder("byte_bpe_50k", as_text)
+    points = [c for c in range(0, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}b  {chr(c)} '{chr(c)}s\n" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "'s", "1", "<|", "|>", "é", "名"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(2000)]
     for text, e in zip(texts, tk.encode_batch(texts, add_special_tokens=False)):
-        assert own.encode_ordinary(text) == e.ids
+        assert own(text).tolist() == e.ids
 
 
 def test_empty(nothing):

@@ -235,11 +235,11 @@ def test_turn_order(roles, valid):
 
 def test_chat_sql_and_edges(spark, sf_dir):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet' UNION ALL SELECT * FROM (VALUES (9001, 0, 'user', NULL), (9001, 1, 'assistant', ''), (9002, 0, 'user', 'a \\ [INST] <<SYS>>'), (9002, 0, 'user', 'a \\ [INST] <<SYS>>'))")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet' UNION ALL SELECT * FROM (VALUES (9001, 0, 'user', NULL), (9001, 1, 'assistant', ''), (9002, 0, 'user', 'a \\ [INST] <<SYS>>'), (9002, 0, 'user', 'a \\ [INST] <<SYS>>'), (9003, 0, 'tool', 'x [/TURN]'), (9003, 1, 'a[ROLE]\\', 'y'), (9003, 2, NULL, 'z'), (9003, 3, 'assistant', '<s> </s>'), (NULL, 0, 'user', 'q'))")
     names, want = rows_of(con, chat.OP8_SQL)
-    table = con.execute("SELECT * FROM conversations").to_arrow_table()
+    table = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
     probe = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    got = chat.digest_conversations(spark.createDataFrame(table.to_pandas().astype({"turn": "int64"}), probe.schema).unionByName(probe)).select(*names)
+    got = chat.digest_conversations(spark.createDataFrame(table, probe.schema).unionByName(probe)).select(*names)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want))
     odd = spark.createDataFrame([(None, 1, None, "x"), (None, None, "tool", "y"), (1, 0, "user", "z")], probe.schema)
     assert {(r.conv_id, r.n_turns) for r in chat.digest_conversations(odd).collect()} == {(None, 2), (1, 1)}
@@ -248,6 +248,41 @@ def test_chat_sql_and_edges(spark, sf_dir):
     assert [s.loss for r in one for s in r.segments] == [False, False, False, False, True, False] and one[1].valid_so_far
 
 
+def test_reader_needs_no_row_bounds():
+    """Formatted text and its mask, cut anywhere, are read back to the turns and to each assistant text once."""
+    rng = random.Random(9)
+    parts = [*chat.LLAMA.control, "\\", "[", "<", " ", "\n", "word", "é😀"]
+    for _ in range(300):
+        turns = [(rng.choice(["user", "assistant", "system", "tool", ""]), "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for _ in range(rng.randint(1, 6))]
+        text, mask = "", []
+        for t, loss in chat.format_turns(turns)[0]:
+            mask += [loss] * len(t)
+            text += t
+        reader, got, at = chat.Reader(chat.Codec()), [], 0
+        while at < len(text):
+            n = rng.randint(1, 12)
+            got += reader.feed(text[at : at + n], [(i, i + 1) for i, m in enumerate(mask[at : at + n]) if m])
+            at += n
+        reader.end()
+        assert [(r, t) for r, t, _ in got] == turns
+        assert "".join(u for _, _, u in got) == "".join(t for r, t in turns if r == "assistant")
+    with pytest.raises(ValueError):
+        reader = chat.Reader(chat.Codec())
+        list(reader.feed("[INST] no end"))
+        reader.end()
+
+
+def test_long_conversations(spark):
+    """A conversation of many turns with long texts, and one very long text."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </s> " + "word " * 200) for i in range(3000)] + [(2, 0, "user", "[INST] \\ " * 200_000), (2, 1, "assistant", "yes " * 300_000)]
+    got = {r.conv_id: r for r in chat.digest_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for c in (1, 2):
+        said = [(r, t) for k, _, r, t in rows if k == c]
+        assert got[c].n_turns == len(said) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+        loss = "".join(t for r, t in said if r == "assistant")
+        assert (got[c].loss_chars, got[c].loss_sha256, got[c].valid) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), True)
+
+
 # pipeline
 
 
@@ -267,7 +302,7 @@ def test_pipeline_stages(spark, docs, nothing, sf_dir):
         from sparkloom.llm.packing import _encoder
 
         enc = _encoder("byte_bpe_50k")
-        assert sum(len(enc.encode_ordinary(r.text)) + 1 for r in before.collect()) == sum(r.length for r in own.collect())
+        assert sum(len(enc(r.text)) + 1 for r in before.collect()) == sum(r.length for r in own.collect())
     empty = nothing
     for _, stage in corpus_pipeline.STAGES:
         empty = materialize(stage(spark, empty, sf_dir))[0]
