@@ -1,7 +1,6 @@
 from collections import Counter
 
 import duckdb
-import pytest
 from helpers import words
 
 from sparkloom.llm.quality import NAMES, OP6_SQL, QualityRules, base_counts, op6_distribution_divergence, quality_stage, score_quality
@@ -60,8 +59,17 @@ def test_stage(docs, nothing):
     assert quality_stage(None, nothing, "").count() == 0 and NAMES[0] == "n_words"
 
 
-@pytest.mark.parametrize("many", [1, 1000])
-def test_rare_languages_fall_back(spark, many):
-    rows = [(i, f"word{i} other thing " * 30, f"l{i}") for i in range(5)]
-    got = score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), QualityRules(max_languages=many)).collect()
-    assert all(r.word_distance is not None for r in got)
+def test_rare_languages_are_judged_by_their_own(spark, docs):
+    """However few references are sent to every task, verdicts and distances are the same; '*' is a language like any other."""
+    rows = [(i, " ".join([f"word{i % 5} other thing"] * 20 + [f"x{i}"] * (i % 9)) if i % 7 else None, f"l{i % 5}" if i % 5 else "*") for i in range(40)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string").unionByName(docs.select("doc_id", "text", "lang"))
+    key = lambda r: (repr(r.doc_id), r.text or "", r.lang or "", r.n_words, r.kept, r.char_distance is None or round(r.char_distance, 12), r.word_distance is None or round(r.word_distance, 12))
+    all_near, few = (sorted(map(key, score_quality(own, QualityRules(max_languages=n)).collect())) for n in (200, 2))
+    assert all_near == few and len(few) == own.count() and {r[2] for r in few} == {"*", "l1", "l2", "l3", "l4", "en", "de", ""}
+
+
+def test_labelled_junk_goes(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").filter("quality = 0").select("doc_id").distinct()
+    junk = score_quality(spark.read.parquet(f"{d}/documents.parquet")).join(labels, "doc_id").collect()
+    assert sum(not r.kept for r in junk) >= 0.95 * len(junk)
