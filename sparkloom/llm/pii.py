@@ -2,6 +2,9 @@
 
 Validated values are replaced within their format, by a permutation of that format's values keyed by a secret: equal values
 get equal pseudonyms in every document, different values different ones, and depseudonymize() with the key gives them back.
+Equal are values, not spellings: a day has one pseudonym as 2024-01-02 and as 02/01/2024 (one-digit forms, and m/d/y, which
+can't hold every day, are permuted among their own), an address whatever its letters' case, a national telephone number
+with or without its country code, a card or IBAN however it is spaced.
 
 Kinds: payment cards (Luhn; the check digit is recomputed, the issuer digit kept), IBANs (mod 97), US social security
 numbers, calendar dates (ISO, and d/m/y or m/d/y within one month table), IPv4 addresses, phone numbers (punctuation and
@@ -10,7 +13,8 @@ secrets (token, key or password assignments, and known key prefixes).
 
 Edge cases: a null text stays null, an empty one empty; numbers that fail validation stay; each row is handled alone, so
 repeated rows give repeated results; overlapping candidates go to the kind listed first; further columns are carried,
-those named like an output are replaced; an empty table gives an empty result.
+those named like an output are replaced; an empty table gives an empty result. The key is that of the session setting
+spark.sparkloom.pii.key; without one a demonstration key serves, which protects nothing.
 """
 
 from __future__ import annotations
@@ -113,8 +117,12 @@ class Pseudonyms:
     def _digits(self, d: str, tweak: str, move) -> str:
         return str(move(int(d), 10 ** len(d), f"{tweak}{len(d)}")).zfill(len(d)) if d else d
 
-    def _chars(self, s: str, tweak: str, move) -> str:
-        """s permuted among the strings of the same classes by place: lower or upper letters, digits; the rest stays."""
+    def _chars(self, s: str, tweak: str, move, fold: bool = False) -> str:
+        """s permuted among the strings of the same classes by place: lower or upper letters, digits; the rest stays. With fold
+        letters are permuted as lower case and get the case of their place back."""
+        if fold:
+            new = self._chars(s.lower(), tweak, move)
+            return "".join(c.upper() if old.isascii() and old.isupper() else c for old, c in zip(s, new))
         n, x, bases = 1, 0, []
         for c in s:
             if c.isascii() and c.isalnum():
@@ -139,7 +147,7 @@ class Pseudonyms:
         if kind == "email":
             local, domain = s.split("@", 1)
             first, rest = domain.split(".", 1)
-            return f"{self._chars(local, 'mail', move)}@{self._chars(first, 'host', move)}.{rest}"
+            return f"{self._chars(local, 'mail', move, True)}@{self._chars(first, 'host', move, True)}.{rest}"
         if kind == "secret":
             head = _PREFIX.match(s)[0]
             body = s[len(head) :].rstrip("\"'")
@@ -183,7 +191,7 @@ class Pseudonyms:
         if not 8 <= len(digits) <= 15:
             return None
         keep = len(re.match(r"\+(\d*)", s)[1]) if s[0] == "+" and re.match(r"\+\d+[ .(-]", s) else 0
-        return _spread(digits[:keep] + self._digits(digits[keep:], "tel" + digits[:keep], move), s)
+        return _spread(digits[:keep] + self._digits(digits[keep:], "tel", move), s)
 
     def _date(self, s: str, move) -> str | None:
         try:
@@ -199,10 +207,11 @@ class Pseudonyms:
             return None
         if not 0 <= n < _DAYS:
             return None
-        if shape == "iso":
-            return (_EPOCH + datetime.timedelta(move(n, _DAYS, "iso"))).isoformat()
-        # slashed dates are permuted among those that are read the same way, so the result is again one of them
         width = [len(x) for x in s.split("/")]
+        if shape == "iso" or (shape == "dmy" and width[:2] == [2, 2]):
+            d = _EPOCH + datetime.timedelta(move(n, _DAYS, "day"))
+            return d.isoformat() if shape == "iso" else f"{d.day:02d}/{d.month:02d}/{d.year}"
+        # other slashed dates are permuted among those that are read the same way, so the result is again one of them
         valid = _slashed(shape, width[0], width[1])
         new = valid[0][move(valid[1][n], len(valid[0]), f"{shape}{width[0]}{width[1]}")]
         d = _EPOCH + datetime.timedelta(new)
@@ -239,8 +248,14 @@ def _slashed(shape: str, w1: int, w2: int) -> tuple[list[int], dict[int, int]]:
 COUNTS = [f"n_{k}" for k in KINDS]
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, back: bool = False, column: str = "text") -> DataFrame:
-    """docs with its text pseudonymised (with back: restored) and the number of replacements by kind."""
+def session_key(spark: SparkSession) -> bytes:
+    return spark.conf.get("spark.sparkloom.pii.key", KEY.decode()).encode()
+
+
+def pseudonymize(docs: DataFrame, key: bytes | None = None, back: bool = False, column: str = "text") -> DataFrame:
+    """docs with its text pseudonymised (with back: restored) and the number of replacements by kind; key: that of the session
+    if none is given."""
+    key = session_key(docs.sparkSession) if key is None else key
     fields = [f for f in docs.schema.fields if f.name.lower() not in COUNTS]
     at = [f.name for f in fields].index(column)
 
@@ -257,6 +272,11 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, back: bool = False, column:
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, ddl + "".join(f", {c} int" for c in COUNTS))
 
 
+def depseudonymize(docs: DataFrame, key: bytes | None = None, column: str = "text") -> DataFrame:
+    """What pseudonymize() with the same key was given, and the number of values restored by kind."""
+    return pseudonymize(docs, key, True, column)
+
+
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with text pseudonymised; n_chars is unchanged in length except where an address has more or fewer digits."""
     own, back = shielded(docs, *COUNTS)

@@ -66,6 +66,40 @@ def test_shortest_forms_pass_the_hint(kind):
         assert p.text(f"see {value} there 77")[0] == f"{new} 77"
 
 
+@pytest.mark.parametrize("spellings, bare", [
+    (["2024-01-02", "02/01/2024"], lambda s: s if "-" in s else "-".join(reversed(s.split("/")))),
+    (["Bob.Lee@Mail.example.org", "bob.lee@mail.example.org", "BOB.LEE@mail.example.org"], str.lower),
+    (["+1 (310) 555-4510", "(310) 555-4510", "310-555-4510", "310.555.4510"], lambda s: "".join(filter(str.isdigit, s))[-10:]),
+    (["4041 8949 7460 8795", "4041-8949-7460-8795", "4041894974608795"], lambda s: "".join(filter(str.isdigit, s))),
+    (["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"], lambda s: s.replace(" ", "")),
+])
+def test_equal_values_stay_linked_however_they_are_written(spellings, bare):
+    p = pii.Pseudonyms()
+    new = [p.text(s)[0] for s in spellings]
+    assert len({bare(x) for x in new}) == 1 and bare(new[0]) != bare(spellings[0])
+    assert [p.text(x, back=True)[0] for x in new] == spellings
+
+
+def test_whatever_is_found_has_a_hint():
+    rng = random.Random(8)
+    parts = ["1", "12", "2024", "-", ".", "/", " ", "(", ")", "+", "@", "a", "Bc", "b.co", "key=", "token: ", "sk-", "AKIA", "ghp_", "a" * 20, "A1" * 10, "GB82", "'", "_"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert not pii._SCAN.search(text) or pii._HINT.search(text), text
+
+
+def test_key_of_the_session(spark):
+    docs = spark.createDataFrame([(1, "on 2024-01-02")], "doc_id long, text string")
+    plain = pii.pseudonymize(docs).first().text
+    spark.conf.set("spark.sparkloom.pii.key", "another")
+    try:
+        new = pii.pseudonymize(docs)
+        assert new.first().text != plain and pii.depseudonymize(new).first().text == "on 2024-01-02"
+    finally:
+        spark.conf.unset("spark.sparkloom.pii.key")
+    assert pii.depseudonymize(pii.pseudonymize(docs, b"x"), b"x").first().text == "on 2024-01-02"
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for n in (2, 3, 10, 97, 1000):
