@@ -1,13 +1,15 @@
 """Media columns: interleaved document sequences.
 
 HTML is parsed to an ordered array of text and media-reference structs; references carry the digest of their payload, a
-media store holds each payload once under that digest, and a join by digest resolves them; position and caption stay in
-the struct, so nothing has to be aligned afterwards. Payloads are kept as binary greyscale images (PGM, 8-bit samples in
-rows of 24, blocks of 24 rows), padded with 255.
-
-Edge cases: null HTML gives an empty sequence, null text an empty payload (one block of padding); a media reference without
-a source has a null digest and stays unresolved; unknown digests resolve to nulls; equal payloads are stored once and
-resolve alike; an empty table gives an empty result; further columns are ignored.
+media store holds payloads under that digest, and a join by digest resolves them; position and caption stay in the struct, so
+nothing has to be aligned afterwards. Payloads are kept as binary greyscale images (PGM, 8-bit samples in rows of 24, blocks
+of 24 rows), padded with 255. Documents that are plain text are rendered as pages: their paragraphs, with a captioned
+reference to the payload that holds the whole text after the first.
+
+Edge cases: null HTML gives an empty sequence, null text an empty payload (one block of padding) and a page of one reference;
+a media reference without a source has a null digest and stays unresolved; unknown digests resolve to nulls; equal payloads
+are stored once by a task and resolve alike; pages with one key, or none, are resolved each; a very long text is one payload;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 from urllib.parse import unquote_to_bytes
 
@@ -47,6 +50,12 @@ def decode_payload(image: bytes) -> bytes:
     return image[m.end() :]
 
 
+def payload_digest(data: bytes) -> str:
+    """SHA-256 of the padded payload, by which references name it."""
+    n = max(1, -(-len(data) // BLOCK)) * BLOCK
+    return hashlib.sha256(data + b"\xff" * (n - len(data))).hexdigest()
+
+
 def features(samples: bytes) -> str:
     """Mean and deviation of the samples, and a 64-bit difference hash of the image averaged to 8 rows of 9."""
     a = np.frombuffer(samples, np.uint8)
@@ -139,7 +148,7 @@ def source_digest(source: str | None) -> str | None:
     if source.startswith("sha256:"):
         return source[7:]
     payload = data_payload(source)
-    return hashlib.sha256(encode_payload(payload)[len(_HEADER.match(encode_payload(payload))[0]) :] if payload is not None else source.encode()).hexdigest()
+    return payload_digest(payload) if payload is not None else hashlib.sha256(source.encode()).hexdigest()
 
 
 def parse_sequence(html: str | None) -> list[dict]:
@@ -150,15 +159,36 @@ def parse_sequence(html: str | None) -> list[dict]:
     return p.out
 
 
-def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key and its sequence of segments."""
+def interleave(pages: DataFrame, key: str = "page_id", html: str = "html", *carried: str) -> DataFrame:
+    """key, the carried columns, and the page's sequence of segments."""
+    keys = [key, *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("position", pa.int32()), *((c, pa.string()) for c in ("kind", "text", "digest", "source", "caption"))]))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_sequence(h) for h in batch.column(1).to_pylist()], kind)], names=[key, "sequence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([parse_sequence(h) for h in batch.columns[-1].to_pylist()], kind)], names=[*keys, "sequence"])
+
+    ddl = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in keys)
+    return pages.select(*keys, html).mapInArrow(run, f"{ddl}, sequence {SEQUENCE}")
+
+
+def document_page(text: str | None) -> str:
+    """A text as HTML: its paragraphs, and after the first the figure that stands for the payload of the whole text."""
+    data = utf8(text)
+    first, *rest = [f"<p>{escape(p)}</p>" for p in (text or "").split("\n\n")]
+    figure = f'<figure><img src="sha256:{payload_digest(data)}" alt="text"><figcaption>text of {len(data)} bytes</figcaption></figure>'
+    return f"<article>{first}{figure}{''.join(rest)}</article>"
+
+
+def document_pages(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, html of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(utf8(t)) for t in texts], pa.int64()), pa.array([document_page(t) for t in texts], pa.string())], names=["doc_id", "n_bytes", "html"])
 
-    return pages.select(key, html).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, sequence {SEQUENCE}")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, html string")
 
 
 _STORED = "doc_id long, n_bytes long, digest string, media binary"
@@ -202,27 +232,49 @@ def read_store(store: DataFrame) -> DataFrame:
     return store.filter("media is not null").select("digest", "media").mapInArrow(run, _READ).dropDuplicates(["digest"])
 
 
-def resolved(sequences: DataFrame, store: DataFrame, *keys: str) -> DataFrame:
-    """keys, i, s (the struct) and, for references, what their payload holds: a row a segment. Only digests and facts are
-    shuffled, never payloads."""
-    each = sequences.select(*keys, F.posexplode_outer("sequence").alias("i", "s"))
-    return each.join(read_store(store).hint("merge"), each["s.digest"] == F.col("digest"), "left")
+def references(sequences: DataFrame, *keys: str) -> DataFrame:
+    """keys, position, digest, caption of every media reference: texts are left behind."""
+    media = F.filter("sequence", lambda s: s["kind"] != "text")
+    each = sequences.select(*keys, F.explode(F.transform(media, lambda s: F.struct(s["position"].alias("position"), s["digest"].alias("digest"), s["caption"].alias("caption")))).alias("s"))
+    return each.select(*keys, "s.position", "s.digest", "s.caption")
 
 
-def resolve(sequences: DataFrame, store: DataFrame, key: str = "page_id") -> DataFrame:
-    """sequences with each reference's payload facts in its struct, in the order of the page."""
-    got = F.struct(*[F.col(f"s.{c}").alias(c) for c in ("position", "kind", "text", "digest", "source", "caption")], "payload_bytes", "media_bytes", "media_sha256", "feature")
-    return resolved(sequences, store, key).groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("i").isNotNull(), got))).alias("sequence"))
+FACTS = [c.split()[0] for c in _READ.split(", ")[1:]]
 
 
-def text_sequences(stored: DataFrame) -> DataFrame:
-    """Documents as sequences of one media reference each, to the payload that holds their text."""
-    none = F.lit(None).cast("string")
-    one = F.struct(F.lit(0).alias("position"), F.lit("image").alias("kind"), none.alias("text"), F.col("digest"), none.alias("source"), none.alias("caption"))
-    return stored.select("doc_id", "n_bytes", F.array(one).alias("sequence"))
+def resolved(refs: DataFrame, store: DataFrame) -> DataFrame:
+    """refs (with a column digest) and what the payloads hold. Only digests and facts are shuffled, never payloads. A digest
+    that has more than one in 1,000 of the references is joined by sending its facts to every task: there are fewer than
+    1,000 of these, whatever the input. So no digest brings more than that share of the rows to one task."""
+    refs, _ = materialize(refs)
+    facts, _ = materialize(read_store(store))
+    counts = refs.filter("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / 1000
+    hot = facts.join(F.broadcast(counts.filter(F.col("n") > least).select("digest")), "digest")
+    hot = F.broadcast(hot.select(F.col("digest").alias("_hot"), F.struct(*FACTS).alias("_a")))
+    own = refs.join(hot, F.col("digest") == F.col("_hot"), "left")
+    # rows that need nothing more are spread by a key that no digest equals
+    spread = F.concat(F.lit("-"), F.xxhash64(*[F.col(f"`{c}`") for c in refs.columns]).cast("string"))
+    own = own.withColumn("_key", F.when(F.col("_hot").isNull() & F.col("digest").isNotNull(), F.col("digest")).otherwise(spread))
+    cold = facts.select(F.col("digest").alias("_cold"), F.struct(*FACTS).alias("_b"))
+    full = own.join(cold.hint("merge"), F.col("_key") == F.col("_cold"), "left")
+    return full.select(*refs.columns, *[F.coalesce(f"_a.{c}", f"_b.{c}").alias(c) for c in FACTS])
+
+
+def resolve(sequences: DataFrame, store: DataFrame, key: str = "page_id") -> DataFrame:
+    """sequences with each reference's payload facts in its struct, in the order of the page."""
+    known = resolved(references(sequences, key), store).filter("payload_bytes is not null")
+    by_page = known.groupBy(F.col(key).alias("_page")).agg(F.map_from_entries(F.collect_set(F.struct("digest", F.struct("payload_bytes", "media_bytes", "media_sha256", "feature")))).alias("_facts"))
+    own = ("position", "kind", "text", "digest", "source", "caption")
+    with_facts = F.transform("sequence", lambda s: F.struct(*[s[c].alias(c) for c in own], *[F.try_element_at("_facts", F.coalesce(s["digest"], F.lit("")))[c].alias(c) for c in ("payload_bytes", "media_bytes", "media_sha256", "feature")]))
+    return sequences.join(by_page.hint("merge"), F.col(key).eqNullSafe(F.col("_page")), "left").select(key, with_facts.alias("sequence"))
 
 
 def op3_interleaved_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, _ = materialize(store_texts(table(spark, sf_dir, "documents")))
-    found = resolved(text_sequences(stored), stored, "doc_id", "n_bytes")
-    return found.select("doc_id", "n_bytes", *[c.split()[0] for c in _READ.split(", ")[1:]])
+    docs = table(spark, sf_dir, "documents")
+    stored, _ = materialize(store_texts(docs))
+    sequences = interleave(document_pages(docs), "doc_id", "html", "n_bytes")
+    chars = F.aggregate("sequence", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.length(s["text"]), F.lit(0)))
+    counted = sequences.select("doc_id", "n_bytes", F.size("sequence").alias("n_segments"), chars.alias("text_chars"), "sequence")
+    refs = references(counted, "doc_id", "n_bytes", "n_segments", "text_chars")
+    return resolved(refs, stored).select("doc_id", "n_bytes", *FACTS, "position", "caption", "n_segments", "text_chars")

@@ -13,7 +13,7 @@ import pytest
 from helpers import prose, words
 
 from sparkloom.llm import chat, licenses, media, pii, toxicity
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, scratch_dir
 
 
 def rows_of(con, sql):
@@ -125,18 +125,56 @@ def test_pii_of_a_table_comes_back(spark, sf_dir):
 # media
 
 
-def test_stored_texts_read_back(docs, nothing):
-    stored, _ = materialize(media.store_texts(docs))
-    got = media.resolved(media.text_sequences(stored), stored, "doc_id", "n_bytes").collect()
+def brute_feature(payload):
+    """Mean, deviation and difference hash, sample by sample."""
+    rows = [payload[i : i + 24] for i in range(0, len(payload), 24)]
+    mean = sum(payload) / len(payload)
+    std = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+    cuts = [9 * 0, *[24 * i // 9 for i in range(1, 9)], 24]
+    bits = ""
+    for b in range(8):
+        size, more = divmod(len(rows), 8)
+        begin = b * size + min(b, more)
+        band = rows[begin : begin + size + (b < more)]
+        cell = [sum(r[x] for r in band for x in range(lo, hi)) / (len(band) * (hi - lo)) for lo, hi in zip(cuts, cuts[1:])]
+        bits += "".join("1" if q > p + 1e-9 else "0" for p, q in zip(cell, cell[1:]))
+    return mean, std, f"{int(bits, 2):016x}"
+
+
+def test_stored_texts_read_back(spark, sf_dir, docs, nothing, monkeypatch):
+    """The query over rows with every awkward case: stored bytes, features, and the place of the reference in its page."""
+    monkeypatch.setattr(media, "table", lambda *_: docs)
+    got = media.op3_interleaved_sequences(spark, "").collect()
     want = Counter()
     for r in docs.collect():
         data = (r.text or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 or (0 if data else 576))
         image = b"P5\n24 %d\n255\n" % (len(payload) // 24) + payload
-        want[(r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest())] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) for r in got) == want
+        parts = [" ".join(p.split()) for p in (r.text or "").split("\n\n")]
+        place = 1 if parts[0] else 0
+        want[(r.doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), place, f"text of {len(data)} bytes")] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.position, r.caption) for r in got) == want
+    texts = {hashlib.sha256((t or "").encode() + b"\xff" * (-len((t or "").encode()) % 576 or (0 if t else 576))).hexdigest(): t for t in (r.text for r in docs.collect())}
+    for r in got:
+        text = texts[r.payload_sha256] or ""
+        data = text.encode()
+        if len(data) < 50_000:
+            mean, std, bits = brute_feature(data + b"\xff" * (r.payload_bytes - len(data)))
+            assert r.feature == f"mean={mean:.4f};std={std:.4f};dhash={bits}"
+        assert r.text_chars >= len("".join(text.split()))
     assert len({r.feature for r in got if r.n_bytes == 0}) == 1
-    assert media.read_store(media.store_texts(nothing)).count() == 0
+    monkeypatch.setattr(media, "table", lambda *_: nothing)
+    assert media.op3_interleaved_sequences(spark, "").count() == 0
+
+
+def test_hot_and_unknown_digests(spark):
+    """A digest with most of the references, one that is unknown and references without one."""
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(3)], "doc_id long, text string")
+    known = [media.payload_digest(f"text {i}".encode()) for i in range(3)]
+    rows = [(i, known[0]) for i in range(3000)] + [(5000, known[1]), (5001, "0" * 64), (5002, None), (5003, None), (None, known[2])]
+    got = media.resolved(spark.createDataFrame(rows, "k long, digest string"), media.store_texts(texts)).collect()
+    assert Counter((r.k, r.digest) for r in got) == Counter(rows)
+    assert all((r.payload_sha256 == r.digest) if r.digest in known else r.payload_sha256 is None for r in got)
 
 
 def test_media_codec():
@@ -151,13 +189,13 @@ def test_interleaved_pages(spark):
     text = "the stored text"
     digest = hashlib.sha256(media.decode_payload(media.encode_payload(text.encode()))).hexdigest()
     html = f'<p>before</p><figure><img src="sha256:{digest}" alt="old"><figcaption>A <b>caption</b></figcaption></figure><p>middle</p><img alt="none"><img src="x.png"><p>after</p><script>no</script>'
-    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>only text")], "page_id long, html string")
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>only text"), (None, html)], "page_id long, html string")
     store = media.store_texts(spark.createDataFrame([(9, text), (10, text)], "doc_id long, text string"))
     got = {r.page_id: r.sequence for r in media.resolve(media.interleave(pages), store).collect()}
     assert [(s.kind, s.text, s.caption) for s in got[1]] == [("text", "before", None), ("image", None, "A caption"), ("text", "middle", None), ("image", None, "none"), ("image", None, None), ("text", "after", None)]
     assert [s.position for s in got[1]] == list(range(6))
     assert got[1][1].payload_bytes == 576 and got[1][3].digest is None and got[1][4].payload_bytes is None
-    assert got[2] == [] and [s.text for s in got[3]] == ["only text"]
+    assert got[2] == [] and [s.text for s in got[3]] == ["only text"] and got[None] == got[1]
 
 
 # toxicity
@@ -349,3 +387,12 @@ def test_run(spark, sf_dir):
 
     first = Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").collect()))
     assert first == Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").collect()))
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch_dir(cluster)
+    assert scratch_dir(spark).startswith("file://")
