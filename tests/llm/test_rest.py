@@ -212,6 +212,7 @@ def test_toxicity_learns_and_edge_rows(spark, docs, nothing):
     assert np.mean([got[i].predicted == rows[i][2] for i in held]) > 0.97
     edge = toxicity.score_toxicity(docs, model).collect()
     assert len(edge) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in edge)
+    assert {r.held_out for r in edge if r.doc_id is None} == {False}
     assert toxicity.score_toxicity(nothing, model).count() == 0
     none = toxicity.train(own, labels.filter("toxic = 7"))
     assert {round(r.score, 6) for r in toxicity.score_toxicity(own, none).collect()} == {0.5}
@@ -248,11 +249,36 @@ def test_training_evens_group_terms_beside_any_white_space(spark):
     assert toxicity.swapped("Some\nwomen,\there  and", toxicity.GROUPS) == "Some\nmen,\there  and"
 
 
+def test_neutral_mentions_are_spared(spark):
+    """Clean sentences that name a group, of a kind that is mostly named in toxic ones: how many come out toxic, with the
+    penalty and without, and whether toxic ones are still found."""
+    groups = [g for row in toxicity.GROUPS[:5] for g in row]
+    rows = []
+    for i in range(900):
+        rng = random.Random(i)
+        y = int(i % 3 == 0)
+        named = rng.choice(["muslim", "gay", "immigrants", "black", "women"]) if rng.random() < (0.9 if y else 0.05) else rng.choice(groups) if rng.random() < 0.3 else ""
+        insult = rng.choice([" wretched scum", " worthless trash", " vile filth"]) if y and rng.random() < 0.6 else ""
+        rows.append((i, f"{prose(i, 25)} {named} {prose(i + 1000, 10)}{insult}", y))
+    own = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = own.selectExpr("doc_id", "y as toxic")
+    neutral = pa.array([f"{prose(5000 + i, 20)} {g} {prose(6000 + i, 10)}" for i, g in enumerate(["muslim", "gay", "immigrants", "black", "women"] * 40)])
+    bad = pa.array([f"{prose(7000 + i, 20)} wretched scum {prose(8000 + i, 10)}" for i in range(100)])
+    plain, fair = (toxicity.train(own, labels, toxicity.Toxicity(counterfactual=c)) for c in (0.0, 5.0))
+    false_plain, false_fair = (float(np.mean(m.score(neutral) >= 0.5)) for m in (plain, fair))
+    assert false_plain > 0.5 and false_fair < 0.4 * false_plain, (false_plain, false_fair)
+    assert np.mean(fair.score(bad) >= 0.5) > 0.9
+
+
 def test_held_out_accuracy(spark):
-    d = "/root/testdata/sf0.01"
+    """Well above what always answering "clean" gets (0.90 to 0.92), without taking clean documents for toxic."""
+    d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
-    got = toxicity.score_toxicity(docs, toxicity.train(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
+    labelled = docs.join(labels, "doc_id", "left_semi").repartition(8).cache()
+    got = toxicity.score_toxicity(labelled, toxicity.train(labelled, labels)).join(labels, "doc_id").filter("held_out").collect()
+    right, base = np.mean([r.predicted == r.toxic for r in got]), np.mean([r.toxic == 0 for r in got])
+    assert right > 0.96 > base + 0.03
+    assert sum(r.predicted and not r.toxic for r in got) <= 0.01 * len(got)
 
 
 # licenses
