@@ -2,9 +2,11 @@
 
 Texts become sets of word n-grams; equal sets are one class. A class's set is embedded as minhash tokens (place, value).
 From the root every tree node samples two places, and a class goes on to the child of each by the token it has there, so
-classes meet where they share the sampled tokens. After `depth` levels buckets of one are dropped, and all classes of any
-other are compared by their sketches, so recall doesn't depend on a bucket's size. Runs of the tree are repeated until a
-pair at the threshold is met with the target recall. Connected candidates are then verified exactly: all
+classes meet where they share the sampled tokens. After `depth` levels buckets of one are dropped, buckets of up to `small`
+classes are brute-forced by their sketches, and the classes of larger ones go down further trees of their own, as many as keep
+a pair at the threshold together with the chance `deep_recall`. What is still larger is compared in pairs of blocks of
+`small` classes, so no task holds a large bucket and none is dropped or cut. Runs of the first tree are repeated until a pair at
+the threshold meets with the target recall, whatever the size of its buckets. Connected candidates are then verified exactly: all
 pairs within them, in blocks of bounded size, by set intersection. Only a spanning forest of links and the number of links
 of each class leave a block, never its pairs.
 
@@ -31,6 +33,14 @@ from .components import connected_components
 from .hashing import mix, slices
 
 
+def _meeting(threshold: float, depth: int) -> float:
+    """Chance that a pair at the threshold shares a leaf of a tree in which every node samples two places."""
+    q = 1.0
+    for _ in range(depth):
+        q = 1 - (1 - threshold * q) ** 2
+    return q
+
+
 @dataclass(frozen=True)
 class Join:
     """slack: how far below the threshold a sketch's estimate may be for a pair to be verified (64 places: 2.4 deviations)."""
@@ -40,17 +50,22 @@ class Join:
     target_recall: float = 0.97
     places: int = 64
     depth: int = 3
+    small: int = 4096
+    deep: int = 4
+    deep_recall: float = 0.98
     slack: float = 0.15
     block_weight: int = 1 << 21
     seed: int = 7
 
     def runs(self) -> int:
-        """Runs until a pair at the threshold shares a leaf with the target recall."""
-        q = 1.0
-        for _ in range(self.depth):
-            q = 1 - (1 - self.threshold * q) ** 2
+        """Trees until a pair at the threshold meets with the target recall, be its buckets small or split further."""
+        q = _meeting(self.threshold, self.depth) * self.deep_recall
         return math.ceil(math.log(1 - self.target_recall) / math.log(1 - q))
 
+    def deep_runs(self) -> int:
+        """Trees below a large bucket until a pair at the threshold meets again with deep_recall."""
+        return math.ceil(math.log(1 - self.deep_recall) / math.log(1 - _meeting(self.threshold, self.deep)))
+
 
 def gram_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, row of each distinct n-gram, its 64-bit hash) by slice; sorted by row and hash."""
@@ -136,6 +151,13 @@ def _tree(join: Join) -> list[list[int]]:
     return leaves
 
 
+def _signatures(c: pa.Array, join: Join) -> np.ndarray:
+    return np.frombuffer(b"".join(c.to_pylist()), "<u4").reshape(-1, join.places).astype(np.uint64)
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
 def leaf_keys(classes: DataFrame, join: Join) -> DataFrame:
     """key, class: the leaves that each class reaches."""
     leaves = _tree(join)
@@ -144,12 +166,12 @@ def leaf_keys(classes: DataFrame, join: Join) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, join.places).astype(np.uint64)
+            sig = _signatures(batch.column(1), join)
             keys = np.empty((len(sig), len(leaves)), np.uint64)
             for i, way in enumerate(leaves):
-                k = np.full(len(sig), i * 0x9E3779B97F4A7C15 & (1 << 64) - 1, np.uint64)
+                k = np.full(len(sig), i * int(_STEP) & (1 << 64) - 1, np.uint64)
                 for p in way:
-                    k = mix(k * np.uint64(0x9E3779B97F4A7C15) + sig[:, p])
+                    k = mix(k * _STEP + sig[:, p])
                 keys[:, i] = k
             ids = np.repeat(batch.column(0).to_numpy(), len(leaves))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "class"])
@@ -157,7 +179,37 @@ def leaf_keys(classes: DataFrame, join: Join) -> DataFrame:
     return classes.select("class", "sketch").mapInArrow(run, "key long, class long")
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int = 1 << 17) -> Iterator[tuple[tuple, pa.Table]]:
+def deep_keys(rows: DataFrame, join: Join) -> DataFrame:
+    """key, class: the leaves that the rows (key, class, sketch) of large buckets reach below these. Every node samples by its
+    own key, and no place twice on the way through one of these trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                sig, root = _signatures(part.column(2), join), part.column(0).to_numpy().view(np.uint64)
+                every = np.arange(len(root))
+                out = []
+                for r in range(join.deep_runs()):
+                    level = [(mix(root * _STEP + np.uint64(r + 1)), np.zeros((len(root), join.places), bool))]
+                    for _ in range(join.deep):
+                        below = []
+                        for k, used in level:
+                            order = mix(k[:, None] + np.arange(1, join.places + 1, dtype=np.uint64) * _STEP)
+                            order[used] = np.iinfo(np.uint64).max
+                            for p in np.argpartition(order, 2, axis=1)[:, :2].T:
+                                on = used.copy()
+                                on[every, p] = True
+                                below.append((mix(k * _STEP + p.astype(np.uint64)) ^ mix(sig[every, p] + _STEP), on))
+                        level = [(mix(k), on) for k, on in below]
+                    out += [k for k, _ in level]
+                keys = np.stack(out, 1)
+                ids = np.repeat(part.column(1).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["key", "class"])
+
+    return rows.select("key", "class", "sketch").mapInArrow(run, "key long, class long")
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
     """The groups, by the first `keys` columns, of batches sorted by them."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -180,12 +232,17 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, most: int = 1 << 17) -
         yield last, pa.Table.from_batches(held)
 
 
-def shared_leaves(keys: DataFrame) -> DataFrame:
-    """Rows of keys that aren't alone with their key; one pass over sorted partitions that holds one row."""
+def shared_leaves(keys: DataFrame, join: Join) -> DataFrame:
+    """key, class, block: rows of keys that aren't alone with their key; every `small` rows of a key are a block of it. One
+    pass over sorted partitions that holds one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = last_class = None
-        last_out = False
+        last_out, last_rank = False, -1
+
+        def rows(k, c, rank) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array((np.asarray(rank) // join.small).astype(np.int32))], names=["key", "class", "block"])
+
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -195,14 +252,25 @@ def shared_leaves(keys: DataFrame) -> DataFrame:
             out = np.zeros(n, bool)
             out[1:] |= same
             out[:-1] |= same
+            first = np.append(True, ~same)
+            rank = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
             if last_key is not None and k[0] == last_key:
                 out[0] = True
+                rank[: int(np.argmax(first[1:])) + 1 if first[1:].any() else n] += last_rank + 1
                 if not last_out:
-                    yield pa.RecordBatch.from_arrays([pa.array([last_key]), pa.array([last_class])], names=["key", "class"])
-            last_key, last_class, last_out = k[-1], c[-1], bool(out[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(c[out])], names=["key", "class"])
+                    yield rows([last_key], [last_class], [last_rank])
+            last_key, last_class, last_out, last_rank = k[-1], c[-1], bool(out[-1]), int(rank[-1])
+            yield rows(k[out], c[out], rank[out])
+
+    return keys.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "key long, class long, block int")
 
-    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, class long")
+
+def _large(met: DataFrame) -> tuple[DataFrame, int]:
+    """(key, last: number of its last block) of the keys with more than one block, as a hinted frame, and how many there are.
+    Of `small` rows one key at most is large; where these are few enough, they are sent to every task."""
+    large, _ = materialize(met.filter("block > 0").groupBy("key").agg(F.max("block").alias("last")))
+    n = large.count()
+    return (F.broadcast(large) if n <= 100_000 else large.hint("merge")), n
 
 
 def _near(sketch: np.ndarray, least: int) -> Iterator[np.ndarray]:
@@ -223,8 +291,7 @@ def _near(sketch: np.ndarray, least: int) -> Iterator[np.ndarray]:
 
 
 def split_bucket(ids: np.ndarray, sketch: np.ndarray, join: Join) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning edges of the candidate pairs in a bucket, whatever its size: all that agree in enough places, as a pair that
-    had to share further tokens would be lost the more often the larger its bucket is."""
+    """Spanning edges of the candidate pairs among rows that were brought together: all that agree in enough places."""
     if len(ids) < 2:
         return
     for part in _near(sketch, int(math.ceil((join.threshold - join.slack) * join.places))):
@@ -233,9 +300,26 @@ def split_bucket(ids: np.ndarray, sketch: np.ndarray, join: Join) -> Iterator[tu
             yield own[own != own.min()], np.full(int((own != own.min()).sum()), own.min())
 
 
-def candidate_edges(classes: DataFrame, join: Join) -> DataFrame:
-    met, path = materialize(shared_leaves(leaf_keys(classes, join)))
+def buckets(classes: DataFrame, join: Join) -> DataFrame:
+    """key, i, j, class: classes to be compared with one another, by bucket and pair of blocks."""
+    met, path = materialize(shared_leaves(leaf_keys(classes, join), join))
+    whole = lambda rows: rows.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "class")
+    large, n = _large(met)
+    if not n:
+        return whole(met)
+    small = whole(met.join(large, "key", "left_anti"))
+    signed = met.join(large.select("key"), "key", "left_semi").join(classes.select("class", "sketch").hint("merge"), "class")
+    below, _ = materialize(shared_leaves(deep_keys(signed, join), join))
+    large, n = _large(below)
+    if not n:
+        return small.unionByName(whole(below))
+    other = F.explode(F.sequence(F.lit(0), F.col("last")))
+    grid = below.join(large, "key").withColumn("other", other).filter("other <> block")
+    grid = grid.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class")
+    return small.unionByName(whole(below.join(large, "key", "left_anti"))).unionByName(grid)
 
+
+def candidate_edges(classes: DataFrame, join: Join) -> DataFrame:
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -245,7 +329,6 @@ def candidate_edges(classes: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[np.ndarray] = []
         b: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
 
         def out() -> pa.RecordBatch:
             pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
@@ -253,9 +336,9 @@ def candidate_edges(classes: DataFrame, join: Join) -> DataFrame:
             b.clear()
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        for _, group in grouped(batches, 1):
-            ids = group.column(1).to_numpy()
-            sketch = np.frombuffer(b"".join(group.column(2).to_pylist()), np.uint8).reshape(len(ids), join.places)
+        for _, group in grouped(batches, 3):
+            ids = group.column(3).to_numpy()
+            sketch = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(len(ids), join.places)
             for x, y in split_bucket(ids, sketch, join):
                 a.append(x)
                 b.append(y)
@@ -263,9 +346,8 @@ def candidate_edges(classes: DataFrame, join: Join) -> DataFrame:
                 yield out()
         yield out()
 
-    joined = met.join(classes.select("class", "sketch").mapInArrow(short, "class long, sketch binary").hint("merge"), "class").select("key", "class", "sketch")
-    edges, edge_path = materialize(joined.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "a long, b long").distinct())
-    drop_scratch(classes.sparkSession, path)
+    joined = buckets(classes, join).join(classes.select("class", "sketch").mapInArrow(short, "class long, sketch binary").hint("merge"), "class").select("key", "i", "j", "class", "sketch")
+    edges, _ = materialize(joined.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class").mapInArrow(run, "a long, b long").distinct())
     return edges
 
 

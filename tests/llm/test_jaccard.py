@@ -6,7 +6,7 @@ import pytest
 from helpers import SCHEMA, awkward, edited, prose
 
 from sparkloom.llm.components import connected_components
-from sparkloom.llm.jaccard import Join, jaccard_stage, near_duplicates, split_bucket
+from sparkloom.llm.jaccard import Join, _meeting, candidate_edges, jaccard_stage, near_duplicates, shared_leaves, split_bucket
 
 
 def brute(rows, n=3, threshold=0.5):
@@ -77,6 +77,56 @@ def test_large_bucket_loses_no_pair(similarity):
     assert sum(p in met for p in pairs) >= 0.98 * len(pairs)
 
 
+def pairs_with_hot_tokens(n, similarity, rng, hot=0.25):
+    """Sketches of n // 2 pairs that agree at each place with the given chance. A quarter of the pairs share a passage: 20 of
+    their 64 tokens are the same in all of these, too few to make others a candidate."""
+    sketch = rng.integers(0, 1 << 32, (n, 64), dtype=np.uint64).astype("<u4")
+    same = rng.random((n // 2, 64)) < similarity
+    sketch[1::2][same] = sketch[::2][same]
+    share = np.repeat(np.arange(n // 2) < hot * (n // 2), 2)
+    sketch[np.ix_(share, np.arange(20))] = 7
+    return sketch, share[::2]
+
+
+@pytest.mark.parametrize("small", [16, 128, 4096])
+def test_recall_does_not_depend_on_the_size_of_buckets(spark, small):
+    """Pairs at the threshold, among rows that share a passage and so meet in buckets of hundreds, which are split and, where
+    that doesn't help, compared in blocks: those that their sketches tell are found as often as promised."""
+    rng = np.random.default_rng(6)
+    sketch, hot = pairs_with_hot_tokens(6000, 0.5, rng)
+    cold = np.arange(64) >= 20
+    agree = (sketch[::2, cold] == sketch[1::2, cold]).sum(1)
+    want = [i for i in range(3000) if (12 if hot[i] else 22) <= agree[i]]  # at the threshold or just over, hot tokens included
+    classes = spark.createDataFrame([(i + 1, r.tobytes()) for i, r in enumerate(sketch)], "class long, sketch binary").repartition(3)
+    roots = {r.node: r.root for r in connected_components(candidate_edges(classes, Join(small=small))).collect()}
+    met = np.array([roots.get(2 * i + 1) is not None and roots.get(2 * i + 1) == roots.get(2 * i + 2) for i in want])
+    for own in (hot[want], ~hot[want]):
+        assert own.sum() > 100 and met[own].mean() >= 0.96, met[own].mean()
+    assert len(set(roots.values())) >= 0.95 * met.sum()  # and others aren't candidates
+
+
+def test_trees_are_as_many_as_the_recall_needs():
+    j = Join()
+    assert 1 - (1 - _meeting(0.5, 3) * j.deep_recall) ** j.runs() >= j.target_recall
+    assert 1 - (1 - _meeting(0.5, j.deep)) ** j.deep_runs() >= j.deep_recall
+
+
+def test_blocks_of_shared_leaves(spark):
+    """Keys of one row go, and every `small` rows of a key are a block, also over batches."""
+    rows = [(k, 1000 * k + c) for k, n in enumerate([1, 2, 5, 1, 23, 1, 1, 7]) for c in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = shared_leaves(spark.createDataFrame(rows, "key long, class long"), Join(small=3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.key, r["class"], r.block) for r in got) == [(k, c, c % 1000 // 3) for k, c in rows if k in (1, 2, 4, 7)]
+
+
+def test_whole_table_with_split_buckets(spark, sf_dir):
+    t = pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()
+    assert got(near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Join(small=2))) == brute([(r["doc_id"], r["text"]) for r in t])
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (20, 3)] + [(100, 100 + i) for i in range(1, 50)] + [(i, i + 1) for i in range(200, 240)]
     roots = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
