@@ -5,8 +5,10 @@ Every byte covered by a string of `length` bytes that also starts in a document
 Texts are laid end to end in slices. Each window of `length` bytes has an anchor, its run of `gram` bytes with the least
 hash; windows with the same anchor lie next to each other, and their union (a span, under twice the window's length) is
 sent to the bucket of the anchor's hash as hashes, not text. Equal windows have equal anchors, so they meet there.
-Of equal spans all but that of the least document are removed whole. Only where an anchor has different spans in different
-documents, one span of each kind is fetched as text. Over these, bucket by bucket and in chunks of bounded size, a
+Of equal spans all but that of the least document are removed whole: within a slice, by comparing their bytes, before anything
+is sent, so that a passage which very many documents share is sent once a slice; between slices, by 112 bits of hash (anchor
+and span; among 5e12 spans, as 100 TB have, one wrong pair is expected in 4e8 runs). Only where an anchor has different spans
+in different documents, one span of each kind is fetched as text. Over these, bucket by bucket and in chunks of bounded size, a
 run-compressed Burrows-Wheeler transform is built with suffix samples at run ends; matching statistics against the
 preceding suffix are compared at run heads only and streamed in text order from there, each one less than the one before;
 runs of suffixes that match for `length` bytes are marked beyond their least document.
@@ -123,23 +125,42 @@ def anchors(data: np.ndarray, offsets: np.ndarray, p: Repeats) -> tuple[np.ndarr
     return h, s.run_hash(sums, begin, end), doc, begin, end
 
 
-_ENTRY = np.dtype([("anchor", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("place", "<u8")])  # place: begin << 8 | end - begin
+def _repeated_here(data: np.ndarray, h: np.ndarray, span: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which spans of a slice are, byte by byte, one that the slice has in a smaller document."""
+    order = np.lexsort((doc, span, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (span[order][1:] != span[order][:-1])
+    first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+    out = np.zeros(len(order), bool)
+    late = np.flatnonzero((doc[order] > doc[first]) & (size[order] == size[first]))
+    for k in range(0, len(late), 1 << 16):
+        own, other = order[late[k : k + (1 << 16)]], first[late[k : k + (1 << 16)]]
+        same = np.ones(len(own), bool)
+        for at in range(int(size[own].max())):
+            same &= (at >= size[own]) | (data[np.minimum(begin[own] + at, len(data) - 1)] == data[np.minimum(begin[other] + at, len(data) - 1)])
+        out[own[same]] = True
+    return out
 
 
 def _send(slices: DataFrame, buckets: int, p: Repeats) -> DataFrame:
-    """bucket, slice, n and the columns of its entries, one row for each bucket that a slice has spans for."""
+    """bucket, slice and the columns of its entries, one row for each bucket that a slice has spans for. A row with a bucket
+    below 0 has the spans that are judged already: they repeat others of the slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, ends, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 ids, offsets, data = _unpack(ids, ends, data)
                 h, span, doc, begin, end = anchors(data, offsets, p)
+                doc, size = ids[doc], end - begin
+                gone = _repeated_here(data, h, span, doc, begin, size)
+                rows = [(-1 - int(number) % buckets, number, None, None, None, begin[gone].astype("<u4").tobytes(), size[gone].astype(np.uint8).tobytes())] if gone.any() else []
+                h, span, doc, begin, size = (x[~gone] for x in (h, span, doc, begin, size))
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((h, bucket))
-                h, span, doc, begin, end, bucket = (x[order] for x in (h, span, doc, begin, end, bucket))
+                h, span, doc, begin, size, bucket = (x[order] for x in (h, span, doc, begin, size, bucket))
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
-                rows = [(int(b[0]), number, (a >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), s.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), ids[d].astype("<i8").tobytes(), x.astype("<u4").tobytes(), (y - x).astype(np.uint8).tobytes())
-                        for b, a, s, d, x, y in zip(*(np.split(c, cuts) for c in (bucket, h, span, doc, begin, end))) if len(b)]
+                rows += [(int(b[0]), number, (a >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), s.astype("<u8").tobytes(), d.astype("<i8").tobytes(), x.astype("<u4").tobytes(), y.astype(np.uint8).tobytes())
+                         for b, a, s, d, x, y in zip(*(np.split(c, cuts) for c in (bucket, h, span, doc, begin, size))) if len(b)]
                 types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "slice", "anchor", "span", "doc", "begin", "size"])
 
@@ -158,10 +179,15 @@ def _judge(sent: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), group in grouped(batches, 1):
+            if bucket < 0:
+                for part in group.select(["slice", "bucket", "begin", "size"]).to_batches(max_chunksize=512):
+                    none = pa.nulls(part.num_rows, pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([False] * part.num_rows), none, none, part.column(2), part.column(3)], names=["slice", "bucket", "fetch", "anchor", "doc", "begin", "size"])
+                continue
             cols = {c: group.column(c).to_pylist() for c in ("anchor", "span", "doc", "begin", "size")}
             count = np.array([len(x) for x in cols["size"]])
             slice_ = np.repeat(group.column("slice").to_numpy(), count)
-            anchor, span = _six(cols["anchor"]), _six(cols["span"])
+            anchor, span = _six(cols["anchor"]), np.frombuffer(b"".join(cols["span"]), "<u8")
             doc, begin, size = (np.frombuffer(b"".join(cols[c]), t) for c, t in (("doc", "<i8"), ("begin", "<u4"), ("size", np.uint8)))
             del cols, group
             order = np.lexsort((doc, span, anchor))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow.parquet as pq
 from helpers import prose
 
-from sparkloom.llm.substrings import Repeats, RunIndex, remove_repeats, repeated, suffix_array
+from sparkloom.llm.substrings import Repeats, RunIndex, _repeated_here, _send, _slices, remove_repeats, repeated, suffix_array
 
 
 def brute(rows, length=50):
@@ -56,6 +56,24 @@ def test_runs_periods_and_borders(spark):
         assert got(remove_repeats(df, params)) == brute(rows)
 
 
+def test_equal_hashes_of_unlike_bytes_are_told_apart():
+    data = np.frombuffer(b"abcdefgh" + b"abcdefgh" + b"abcdefgX" + b"abcd", np.uint8)
+    one = np.ones(4, np.uint64)
+    got = _repeated_here(data, one, one, np.array([3, 1, 5, 7]), np.array([0, 8, 16, 24]), np.array([8, 8, 8, 4]))
+    assert got.tolist() == [True, False, False, False]
+
+
+def test_a_passage_in_every_document_is_sent_once_a_slice(spark):
+    passage = prose(9, 60)
+    rows = [(i, prose(100 + i, 5) + " | " + passage + " | " + prose(300 + i, 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert got(remove_repeats(df)) == brute(rows)
+    sent = _send(_slices(df, Repeats()), 4, Repeats()).filter("bucket >= 0").collect()
+    entries = sum(len(r["size"]) for r in sent)
+    alone = sum(len(r["size"]) for r in _send(_slices(df, Repeats(slice_bytes=1)), 4, Repeats()).filter("bucket >= 0").collect())
+    assert entries < 0.6 * alone
+
+
 def test_index_against_sorting():
     rng = np.random.default_rng(5)
     for _ in range(30):
