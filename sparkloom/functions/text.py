@@ -90,11 +90,11 @@ def chunks(c: Column | str, size: int, overlap: int, min_chars: int = 21) -> Col
     return F.flatten(F.transform(F.array(tokens(c)), kept))  # transform binds the tokens, which are thus cut once
 
 
-_FRONT = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
+_FRONT = r"(?s)\A\s*---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 
 
 def front_matter_block(c: Column | str) -> Column:
-    """What stands between the --- lines at the very start; empty if there are none."""
+    """What stands between the --- lines at the start, white space and \\r aside; empty if there are none."""
     return F.regexp_extract(_col(c), _FRONT, 1)
 
 
@@ -105,7 +105,7 @@ def strip_front_matter(c: Column | str) -> Column:
 def front_matter_map(c: Column | str) -> Column:
     """key: value lines of the block as a map of strings, quotes and comments gone, the last of equal keys kept;
     a [a, b] value becomes a,b. A fallback for where no YAML parser is wanted."""
-    lines = F.filter(F.split(front_matter_block(c), "\n"), lambda x: x.rlike(r"^[^#:]+:") & ~stripped(x).startswith("#"))
+    lines = F.filter(F.split(front_matter_block(c), "\r?\n"), lambda x: x.rlike(r"^[^#:]+:") & ~stripped(x).startswith("#"))
 
     def value(x: Column) -> Column:
         v = stripped(F.regexp_extract(x, r"^[^:]+:(.*)$", 1))
@@ -127,6 +127,11 @@ def metadata_value(explicit: Column | str, found: Column | str) -> Column:
     return F.coalesce(F.nullif(_col(explicit), F.lit("")), _col(found))
 
 
+def date_prefix(c: Column | str) -> Column:
+    """The day of a time, as yyyy-MM-dd."""
+    return F.date_format(_col(c), "yyyy-MM-dd")
+
+
 def snippet(c: Column | str, n: int = 120) -> Column:
     return F.concat(F.substring(_col(c), 1, n), F.lit("..."))
 

@@ -45,6 +45,11 @@ def first_per_path(hits: DataFrame, *order) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def titles(hits: DataFrame) -> DataFrame:
+    """The titles among hits, each once."""
+    return hits.select("title").distinct()
+
+
 def term_matches(texts: DataFrame, words: list[str], *, key: str = "path") -> DataFrame:
     """key and the words (ASCII case aside, as given and in that order) that its text holds as substrings."""
     held = lambda t: F.filter(F.array(*[F.when(F.contains(t, F.lit(w.lower())), F.lit(w)) for w in words]), lambda x: x.isNotNull())

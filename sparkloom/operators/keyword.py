@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +39,14 @@ def postings(chunks: DataFrame, *, key: str = "chunk_id", stem: bool = False) ->
     return index, tokens.select(key, F.size("t").alias("length"))
 
 
-def term_statistics(index: DataFrame) -> DataFrame:
-    """df and cf of every term."""
-    return index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def term_statistics(chunks: DataFrame) -> DataFrame:
+    """term, df, cf of every term, in one shuffle of partial sums by term: a row's terms are sorted, and the first of equal ones counts for df."""
+
+    def marked(t: Column) -> Column:
+        return F.transform(t, lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get(t, i - 1) != x), 1).otherwise(0).alias("new")))
+
+    each = chunks.select(F.inline(F.flatten(F.transform(F.array(F.sort_array(terms("text"))), marked))))  # transform binds the sorted terms
+    return each.groupBy("term").agg(F.sum("new").cast("long").alias("df"), F.count("*").alias("cf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -72,15 +83,112 @@ def bm25(chunks: DataFrame, words: list[str], *, key: str = "chunk_id", match: s
     return scan.filter(hit).select(key, score.alias("score"))
 
 
-def bm25_indexed(index: DataFrame, lengths: DataFrame, queries: DataFrame, *, key: str = "chunk_id") -> DataFrame:
-    """query_id, key, score for a batch of queries (query_id, term): postings of the asked terms only are joined."""
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
-    asked = queries.select("query_id", "term").distinct()
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "term").join(lengths, key)
-    part = idf(F.lit(float(stats.n)), F.col("df")) * _weight(F.col("tf"), F.col("length"), F.lit(float(stats.average or 1.0)))
-    return scored.select("term", key, part.alias("part")).join(asked, "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
+def bm25_postings(index: DataFrame, words: list[str], n: int, average: float, *, key: str = "chunk_id", match: str = "any") -> DataFrame:
+    """key, score from an inverted index (term, key, tf, length) over n chunks. The filter on term reaches the files, which are
+    sorted by it; statistics of the few terms are one row each."""
+    if not words:
+        return index.select(key, F.lit(0.0).alias("score")).limit(0)
+    hits = index.filter(F.col("term").isin(words))
+    df = {r.term: r.df for r in hits.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    if not df:
+        return index.select(key, F.lit(0.0).alias("score")).limit(0)
+    of = F.create_map(*[F.lit(x) for t, d in df.items() for x in (t, _idf(n, d))])
+    part = of[F.col("term")] * _weight(F.col("tf"), F.col("length"), F.lit(float(average or 1.0)))
+    scores = hits.groupBy(key).agg(F.sum(part).alias("score"), F.count("*").alias("_n"))
+    return (scores.filter(F.col("_n") == len(words)) if match == "all" else scores).select(key, "score")
+
+
+def _idf(n: float, df: float) -> float:
+    raw = math.log((n - df + 0.5) / (df + 0.5))
+    return 1e-6 if raw <= 0 else raw
+
+
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def _split(text: str | None) -> list[bytes]:
+    """The terms of a text, as terms() gives them, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def bm25_batch(chunks: DataFrame, queries: DataFrame, k: int, *, key: str = "chunk_id", digits: int = 9, block: int = 1 << 21) -> DataFrame:
+    """query_id, key, score (rounded), rank (from 1) of the k best chunks of every query (query_id, text), ties by key.
+
+    The query set is stated by the caller. Its terms' weights go to every task as a matrix, in blocks of queries of bounded
+    size; a task multiplies its chunks' weights with it and keeps k rows a query, and only those are shuffled. A first pass
+    counts just the asked terms."""
+    spark = chunks.sparkSession
+    asked = {r.query_id: sorted(set(_split(r.text))) for r in queries.select("query_id", "text").collect()}
+    vocabulary = {t: i for i, t in enumerate(sorted({t for ts in asked.values() for t in ts}))}
+    shared = spark.sparkContext.broadcast(vocabulary)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, df, n, total = shared.value, np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = _split(text)
+                n, total = n + 1, total + len(own)
+                df[[i for t in set(own) if (i := ids.get(t)) is not None]] += 1
+        hit = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, [-1, -2])), pa.array(np.append(df[hit], [n, total]))], names=["i", "n"])
+
+    sums = {r.i: r.n for r in chunks.select("text").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # a row a term asked for
+    n, total = sums.get(-1, 0), sums.get(-2, 0)
+    average = total / n if n and total else 1.0
+    parts, names = [], list(asked)
+    step = max(1, block // max(1, len(vocabulary)))
+    key_type = chunks.schema[key].dataType.simpleString()
+    for at in range(0, len(names), step):
+        own = names[at : at + step]
+        matrix = np.zeros((len(vocabulary), len(own)))
+        for j, q in enumerate(own):
+            for t in asked[q]:
+                if d := sums.get(vocabulary[t]):
+                    matrix[vocabulary[t], j] = _idf(n, d)
+        held = spark.sparkContext.broadcast((own, matrix, average))
+
+        def score(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            ids, (own, matrix, average) = shared.value, held.value
+            keys: list = []
+            scores = np.zeros((0, len(own)))
+
+            def cut() -> None:
+                nonlocal keys, scores
+                rows, cols = [], []
+                order = np.argsort(np.array(keys, object)) if keys else np.zeros(0, np.int64)
+                for j in range(scores.shape[1]):
+                    c = order[scores[order, j] > 0]
+                    c = c[np.argsort(-scores[c, j], kind="stable")][:k]
+                    rows.append(c)
+                    cols.append(np.full(len(c), j))
+                kept.append([(keys[i], j, scores[i, j]) for i, j in zip(np.concatenate(rows).tolist(), np.concatenate(cols).tolist())] if rows else [])
+                keys, scores = [], np.zeros((0, scores.shape[1]))
+
+            kept: list[list[tuple]] = []
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 256):
+                    part = batch.slice(lo, 256)
+                    w = np.zeros((part.num_rows, len(ids)))
+                    for i, text in enumerate(part.column(1).to_pylist()):
+                        tokens = _split(text)
+                        found = Counter(x for t in tokens if (x := ids.get(t)) is not None)
+                        if found:
+                            tf = np.fromiter(found.values(), float, len(found))
+                            w[i, list(found)] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / average))
+                    keys += part.column(0).to_pylist()
+                    scores = np.concatenate([scores, np.round(w @ matrix, digits)])
+                    if len(keys) >= 4096:
+                        cut()
+            cut()
+            rows = [r for part in kept for r in part]
+            if rows:
+                k_, j, s = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([own[x] for x in j]), pa.array(k_), pa.array(s)], names=["query_id", key, "score"])
+
+        parts.append(chunks.select(key, "text").mapInArrow(score, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {key_type}, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {key_type}, score double, rank int")
+    return best_of_each(reduce(DataFrame.unionByName, parts), k, key=key)
 
 
 def best(scores: DataFrame, k: int, *, key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from .functions import text as T
 from .functions.stem import stemmed
 from .operators import catalog
 from .operators.fusion import fuse, ranked, search
-from .operators.keyword import best, best_of_each, bm25, bm25_indexed, postings, query_terms, term_statistics
+from .operators.keyword import best, bm25, bm25_batch, bm25_postings, postings, query_terms, term_statistics
 from .operators.vector import candidate_pool, nearest, nearest_batch, within_cutoff
 from .plans.prompt import SYSTEM, context_blocks, messages_column, prompt_column
 from .streaming.watch import sessions
@@ -37,9 +37,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    """documents, over all cores even where the table is one small file with one row group."""
-    docs, cores = _t(spark, d, "documents"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    """documents; a table of less than 256 MB, whose file may be one row group, is spread over the cores."""
+    docs = _t(spark, d, "documents")
+    small = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 28
+    return docs.repartition(spark.sparkContext.defaultParallelism) if small else docs
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -47,7 +48,10 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vector(spark: SparkSession, d: str, vec_id: int) -> list[float]:
-    return _t(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).first().embedding
+    row = _t(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
+    if row is None:
+        raise ValueError(f"no vector {vec_id}")
+    return row.embedding
 
 
 def _store(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +110,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark: SparkSession, d: str) -> DataFrame:
-    return term_statistics(postings(_texts(spark, d), key="doc_id")[0])
+    return term_statistics(_texts(spark, d))
 
 
 def _bm25_sql(words: list[str], match: str = "any") -> str:
@@ -206,9 +210,7 @@ def rrf_batch(spark: SparkSession, d: str) -> DataFrame:
     near = nearest_batch(vectors.withColumnRenamed("vec_id", "chunk_id"), asked, pool + 1).filter("chunk_id <> query_id")
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "chunk_id"))).filter(F.col("rank") <= pool)
     near = within_cutoff(near).withColumn("vector_rank", F.col("rank") - 1)
-    index, lengths = postings(chunks)
-    terms = asked.select("query_id", F.explode(F.array_distinct(T.terms("text"))).alias("term"))
-    found = best_of_each(bm25_indexed(index, lengths, terms).withColumn("score", F.round("score", 9)), pool).withColumn("keyword_rank", F.col("rank") - 1)
+    found = bm25_batch(chunks, asked, pool).withColumn("keyword_rank", F.col("rank") - 1)
     return fuse(near, found, top_k).select("query_id", "chunk_id", "score", *_ranks())
 
 
@@ -337,9 +339,12 @@ def frontmatter_fallback(spark: SparkSession, d: str) -> DataFrame:
     return own.select("doc_id", *[T.metadata_value(F.lit(""), F.col("m")[k]).alias(k) for k in ("project", "layer", "tags")])
 
 
-@_query(rf"SELECT doc_id, md5(regexp_replace({_FRONT_SQL} || text, '(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)', '')) AS digest FROM documents")
+@_query("SELECT doc_id, md5(text) AS plain, md5(text) AS crlf, md5(' ' || text) AS without FROM documents")
 def strip_frontmatter(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("doc_id", F.md5(T.strip_front_matter(_fronted())).alias("digest"))
+    """The block goes with line ends of either kind and with blanks before it; a text that has none stays as it is."""
+    crlf = F.concat(F.lit(" \r\n"), F.replace(F.concat(F.substring_index(_fronted(), "\n---\n", 1), F.lit("\n---\n")), F.lit("\n"), F.lit("\r\n")), F.col("text"))
+    digest = lambda c: F.md5(T.strip_front_matter(c))
+    return _texts(spark, d).select("doc_id", digest(_fronted()).alias("plain"), digest(crlf).alias("crlf"), digest(F.concat(F.lit(" "), "text")).alias("without"))
 
 
 @_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -385,7 +390,7 @@ def status_summary(spark: SparkSession, d: str) -> DataFrame:
     return status_counts(_texts(spark, d).select(status.alias("status")))
 
 
-@_query()
+@_query(r"""SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_extract(regexp_extract(url, '^https?://(.*)$', 1), '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1'), '[_-]', ' ', 'g')), '[\p{L}]+|[^\p{L}]+'), lambda w: upper(w[1]) || w[2:]), '') AS title FROM pages""")
 def title_case(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", T.title(F.regexp_extract("url", "^https?://(.*)$", 1)).alias("title"))
 
@@ -397,6 +402,36 @@ def web_pages(spark: SparkSession, d: str) -> DataFrame:
     return html_pages(_t(spark, d, "pages"))
 
 
+_STEMS = {"caresses": "caress", "ponies": "poni", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "relational": "relat", "digitizer": "digit", "operator": "oper", "feudalism": "feudal", "decisiveness": "decis", "triplicate": "triplic", "formative": "form", "electrical": "electr", "goodness": "good", "revival": "reviv", "adjustment": "adjust", "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "controll": "control", "roll": "roll", "sky": "sky"}
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in _STEMS.items()) + ") v(word, stem)")
+def porter_stems(spark: SparkSession, d: str) -> DataFrame:
+    """The examples of the published rules."""
+    words = spark.createDataFrame([(w,) for w in _STEMS], "word string")
+    return words.select("word", stemmed(F.array("word"))[0].alias("stem"))
+
+
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
+def date_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").groupBy(T.date_prefix("ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_bm25_sql(_WORDS)} SELECT DISTINCT d.lang || ' ' || d.source AS title FROM bm JOIN documents d ON d.doc_id = chunk_id")
+def distinct_titles(spark: SparkSession, d: str) -> DataFrame:
+    docs = _texts(spark, d).select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", "lang", "source").alias("title"), "text")
+    return catalog.titles(bm25(docs.select("chunk_id", "text"), _WORDS).join(docs.select("chunk_id", "title"), "chunk_id"))
+
+
+@_query(f"WITH {_bm25_sql(_WORDS)} SELECT chunk_id, round(score, 9) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
+def bm25_from_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same top 20 from an inverted index as a store keeps it."""
+    index, lengths = postings(_texts(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average")).first()
+    found = bm25_postings(index.join(lengths, "chunk_id"), _WORDS, stats.n, stats.average)
+    return best(found, 20).withColumn("score", F.round("score", 9))
+
+
 @_query()
 def stemmed_terms(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("doc_id", F.array_join(stemmed(T.terms("text")), " ").alias("stems"))
