@@ -12,9 +12,12 @@ from .functions.text import check_window
 
 @dataclass(frozen=True)
 class Chunking:
+    """tokenizer: path of a .tiktoken file to count tokens by; without one a token is a run of non-space."""
+
     size: int = 1024
     overlap: int = 128
     top_k: int = 5
+    tokenizer: str = ""
 
     def __post_init__(self) -> None:
         check_window(self.size, self.overlap)
@@ -24,6 +27,8 @@ class Chunking:
 
 @dataclass(frozen=True)
 class Embeddings:
+    """model: hashed, or for backend onnx the path of a model file; auto is onnx for a path that ends in .onnx, else hashed."""
+
     model: str = "hashed"
     backend: str = "auto"
 
@@ -45,10 +50,13 @@ class Inference:
 
 @dataclass(frozen=True)
 class Storage:
+    """path: a folder that all executors share; buckets: how many parts of a new store an update is confined to one of."""
+
     path: str = "~/.sparkloom/memory"
+    buckets: int = 64
 
     def resolved(self) -> str:
-        return str(Path(self.path).expanduser())
+        return os.path.expanduser(self.path)
 
 
 @dataclass(frozen=True)

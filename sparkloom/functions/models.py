@@ -40,6 +40,64 @@ class HashedEmbedder:
         return [float(x) for x in self.encode([text])[0]]
 
 
+@dataclass
+class OnnxEmbedder:
+    """A sentence model in ONNX with inputs input_ids and attention_mask: its token vectors are averaged under the mask and
+    normalised. tokenizer: the path of its tokenizers JSON file. The session is made once a worker."""
+
+    path: str
+    tokenizer: str
+    most_tokens: int = 512
+    batch: int = 64
+
+    def _loaded(self):
+        if self.path not in _SESSIONS:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(self.tokenizer)
+            own.enable_truncation(self.most_tokens)
+            own.enable_padding()
+            _SESSIONS[self.path] = onnxruntime.InferenceSession(self.path, providers=["CPUExecutionProvider"]), own
+        return _SESSIONS[self.path]
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        session, tokenizer = self._loaded()
+        own = tokenizer.encode_batch([t or "" for t in texts])
+        ids, mask = (np.array([getattr(e, f) for e in own], np.int64) for f in ("ids", "attention_mask"))
+        given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        return mean_pooled(session.run(None, {i.name: given[i.name] for i in session.get_inputs()})[0], mask)
+
+    def query(self, text: str) -> list[float]:
+        return [float(x) for x in self.encode([text])[0]]
+
+
+_SESSIONS: dict = {}
+
+
+def mean_pooled(tokens: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Mean of the token vectors that the mask keeps, L2-normalised; of none it is zero."""
+    m = mask[:, :, None].astype(np.float32)
+    out = (tokens * m).sum(1) / np.maximum(m.sum(1), 1e-9)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+def resolve_backend(model: str, backend: str = "auto") -> str:
+    return ("onnx" if model.endswith(".onnx") else "hashed") if backend == "auto" else backend
+
+
+def embedder_for(model: str = "hashed", backend: str = "auto"):
+    """The embedder that settings name. An ONNX model's tokenizer lies beside it as tokenizer.json."""
+    if resolve_backend(model, backend) == "hashed":
+        return HashedEmbedder(embedding_dim(model))
+    return OnnxEmbedder(model, f"{model.rpartition('/')[0] or '.'}/tokenizer.json")
+
+
+def warm_up(embedder) -> int:
+    """Loads what the embedder needs, here; the dimension of its vectors."""
+    return len(embedder.query("warm"))
+
+
 def embed(c: Column | str, embedder) -> Column:
     """Vectors of a text column in Arrow batches; the embedder is set up once a worker."""
 

@@ -1,9 +1,15 @@
-"""Text and scalar expressions: all of them built-in columns, so they stay inside whole-stage code generation."""
+"""Text and scalar expressions. All but YAML front matter and byte-pair windows are built-in columns, so they stay in the JVM."""
 
 from __future__ import annotations
 
+import base64
+import importlib.util
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 SOURCE_TYPES = {".pdf": "pdf", ".docx": "docx", ".pptx": "pptx", ".xlsx": "xlsx", ".md": "markdown", ".txt": "text", ".py": "code", ".js": "code", ".ts": "code", ".go": "code", ".rs": "code", ".java": "code", ".html": "html", ".htm": "html"}
 EXTENSIONS = (*SOURCE_TYPES, ".csv")
@@ -122,6 +128,68 @@ def front_matter_map(c: Column | str) -> Column:
     return F.coalesce(F.map_from_entries(F.element_at(bound, 1)), F.create_map().cast("map<string,string>"))
 
 
+@F.pandas_udf(types.MapType(types.StringType(), types.StringType()))
+def _yaml_map(blocks: pd.Series) -> pd.Series:
+    """A YAML mapping as strings: scalars as they print, lists of scalars joined by commas, anything nested left out. What
+    isn't a mapping, or can't be read, gives none."""
+    import yaml
+
+    def flat(v):
+        if isinstance(v, list):
+            return ",".join(str(x) for x in v if not isinstance(x, (list, dict)) and x is not None)
+        return None if v is None or isinstance(v, dict) else str(v)
+
+    def read(block):
+        try:
+            found = yaml.safe_load(block) if block else None
+        except yaml.YAMLError:
+            return None
+        return {str(k): flat(v) for k, v in found.items() if flat(v) is not None} if isinstance(found, dict) else {}
+
+    return blocks.map(read)
+
+
+def front_matter(c: Column | str) -> Column:
+    """The front matter as a map: read as YAML where that parser is installed, else by its key: value lines."""
+    plain = front_matter_map(c)
+    if importlib.util.find_spec("yaml") is None:
+        return plain
+    return F.when(front_matter_block(c) == "", plain).otherwise(F.coalesce(_yaml_map(front_matter_block(c)), plain))
+
+
+def bpe_chunks(c: Column | str, size: int, overlap: int, ranks: str, min_chars: int = 21) -> Column:
+    """As chunks(), in tokens of a byte-pair encoding: ranks is the path of a .tiktoken file that all executors can read.
+    A window may cut a character; what is left of one at either end is dropped."""
+    check_window(size, overlap)
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = _bpe(ranks)
+        for texts in batches:
+            out = []
+            for text in texts:
+                ids, step, own = encode(text or ""), size - overlap, []
+                for at in range(0, len(ids), step):
+                    own.append(decode(ids[at : at + size]).decode("utf-8", "ignore").strip(" \t\n\r"))
+                    if at + size >= len(ids):
+                        break
+                out.append([t for t in own if len(t) >= min_chars])
+            yield pd.Series(out, index=texts.index)
+
+    return run(_col(c))
+
+
+_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _bpe(ranks: str):
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(ranks, "rb"))}
+    own = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={})
+    return own.encode_ordinary, own.decode_bytes
+
+
 def metadata_value(explicit: Column | str, found: Column | str) -> Column:
     """The explicit value, unless it is null or empty, else the one found in the document."""
     return F.coalesce(F.nullif(_col(explicit), F.lit("")), _col(found))

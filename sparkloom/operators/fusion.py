@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keyword import best, bm25, query_terms
+from .keyword import best, bm25, bm25_postings, query_terms
 from .vector import candidate_pool, nearest, within_cutoff
 
 K = 60
@@ -34,16 +34,21 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, top_k: int, *, key: st
 
 def search(
     chunks: DataFrame, query_vector: list[float], query_text: str, *, top_k: int = 5, only: DataFrame | None = None, key: str = "chunk_id", column: str = "embedding",
-    metric: str = "l2", cutoff: float = 1.15, vector_weight: float = 0.6, keyword_weight: float = 0.4, keyword_mode: str = "terms", match: str = "any", stem: bool = False, n_chunks: int | None = None, vectors: DataFrame | None = None,
+    metric: str = "l2", cutoff: float = 1.15, vector_weight: float = 0.6, keyword_weight: float = 0.4, keyword_mode: str = "terms", match: str = "any", stem: bool = False, n_chunks: int | None = None, vectors: DataFrame | None = None, index: tuple[DataFrame, int, float] | None = None,
 ) -> DataFrame:
     """Hybrid search over chunks (key, text, embedding; rows without a vector are met by keyword alone). Where vectors are
     kept in a table of their own (key, embedding), it is given as `vectors`, and neither leg reads the other's table.
 
+    Where an inverted index is kept, it is given as `index` (postings, number of chunks, average length), and no text is read.
+
     The pool is sized by the whole store. `only` is applied before the vector ranking and after keyword scoring.
     Legs carry keys and ranks only; the caller joins text to the top_k."""
+    n_chunks = index[1] if index is not None and n_chunks is None else n_chunks
     pool = candidate_pool(chunks.count() if n_chunks is None else n_chunks, top_k)
     with_vector = (chunks if vectors is None else vectors).filter(F.col(column).isNotNull())
     near = within_cutoff(nearest(with_vector, query_vector, pool, key=key, column=column, metric=metric, only=only), cutoff)
     words = query_terms(query_text, keyword_mode, stem)
-    found = best(bm25(chunks, words, key=key, match="all" if keyword_mode == "strict" else match, stem=stem), pool, key=key, only=only)
+    match = "all" if keyword_mode == "strict" else match
+    scores = bm25(chunks, words, key=key, match=match, stem=stem) if index is None or stem else bm25_postings(index[0], words, index[1], index[2], key=key, match=match)
+    found = best(scores, pool, key=key, only=only)
     return fuse(ranked(near, "vector_rank", "dist", key), ranked(found, "keyword_rank", F.desc("score"), key), top_k, key=key, vector_weight=vector_weight, keyword_weight=keyword_weight)

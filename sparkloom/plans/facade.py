@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import asdict
 from functools import wraps
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings, load_settings
-from ..functions.models import HashedEmbedder
+from ..functions.models import embedder_for
 from ..operators import catalog
 from ..operators.fusion import search as hybrid
-from ..sources.files import fetch_urls, scan_folder
+from ..sources.files import fetch_urls, load_path
 from .prompt import answer, stream_answer
 from .store import Store, as_json, ingest
 
@@ -22,7 +23,7 @@ from .store import Store, as_json, ingest
 class Memory:
     def __init__(self, spark: SparkSession, settings: Settings | None = None, embedder=None):
         self.spark, self.settings = spark, settings or load_settings()
-        self.store, self.embedder = Store(spark, self.settings.storage.resolved()), embedder or HashedEmbedder()
+        self.store, self.embedder = Store(spark, self.settings.storage.resolved(), self.settings.storage.buckets), embedder or embedder_for(self.settings.embeddings.model, self.settings.embeddings.backend)
 
     def __enter__(self) -> Memory:
         return self
@@ -33,8 +34,8 @@ class Memory:
     def add(self, *sources: str, **options) -> DataFrame:
         """Files, folders and URLs; a status row for each document."""
         urls = [s for s in sources if re.match("(?i)https?:", s)]
-        paths = [str(Path(s).expanduser().resolve()) for s in sources if s not in urls]
-        parts = [scan_folder(self.spark, p) if Path(p).is_dir() else scan_folder(self.spark, str(Path(p).parent)).filter(F.col("path") == p) for p in paths]
+        paths = [s if re.match("[a-z][a-z0-9+.-]*:/", s) else os.path.abspath(os.path.expanduser(s)) for s in sources if s not in urls]
+        parts = [load_path(self.spark, p) for p in paths]
         if urls:
             parts.append(fetch_urls(self.spark.createDataFrame([(u,) for u in urls], "url string")))
         if not parts:
@@ -55,7 +56,7 @@ class Memory:
         if collection or project or layer:
             own = documents.filter(catalog.matches(collection=collection, project=project, layer=layer)).select(F.col("id").alias("doc_id"))
             only = chunks.join(own, "doc_id", "left_semi").select("chunk_id")
-        hits = hybrid(chunks, self.embedder.query(question), question, top_k=top_k or self.settings.chunking.top_k, only=only, **options)
+        hits = hybrid(chunks, self.embedder.query(question), question, top_k=top_k or self.settings.chunking.top_k, only=only, index=self.store.index(), **options)
         texts = chunks.join(F.broadcast(hits), "chunk_id")  # top_k rows
         full = texts.join(documents.select(F.col("id").alias("doc_id"), "title", "path"), "doc_id")
         return full.orderBy(F.desc("score"), F.col("vector_rank").asc_nulls_last(), "keyword_rank", "chunk_id").select("text", "title", "path", F.col("seq").alias("chunk"), "score")
@@ -88,10 +89,16 @@ class Memory:
 
     def stats(self) -> dict:
         own = catalog.store_stats(self.store.documents(), self.store.chunks()).first().asDict()
-        return own | {"size_mb": self.store.size_mb(), "path": str(self.store.path)}
+        return own | {"size_mb": self.store.size_mb(), "path": self.store.path}
 
-    def forget(self, query: str, collection: str | None = None) -> str | None:
-        return self.store.forget(query, collection)
+    def config(self) -> dict:
+        """The settings in force; a key isn't shown."""
+        own = asdict(self.settings)
+        own["inference"]["api_key"] = "set" if self.settings.inference.key() else None
+        return own
+
+    def forget(self, query: str, collection: str | None = None, fuzzy: bool = True) -> str | None:
+        return self.store.forget(query, collection, fuzzy)
 
 
 def _enveloped(f: Callable) -> Callable[..., str]:

@@ -12,6 +12,5 @@ def _struct(*cols: tuple) -> T.StructType:
 
 
 DOCUMENTS = _struct(("id", _S, False), ("path", _S, False), ("title", _S, False), ("source_type", _S, False), ("collection", _S, False), ("project", _S, True), ("layer", _S, True), ("tags", _S, True), ("char_count", _L, False), ("chunk_count", _I, False), ("added_at", T.TimestampType(), False))
-CHUNKS = _struct(("chunk_id", _L, False), ("doc_id", _S, False), ("seq", _I, False), ("text", _S, False), ("embedding", T.ArrayType(T.FloatType()), True))
-SEARCH_RESULT = _struct(("text", _S, False), ("title", _S, False), ("path", _S, False), ("chunk", _I, False), ("score", T.DoubleType(), False))
-INGEST_RESULT = _struct(("status", _S, False), ("source", _S, False), ("doc_id", _S, True), ("title", _S, True), ("chunks", _I, False), ("chars", _L, False), ("error", _S, True))
+CHUNKS = _struct(("chunk_id", _S, False), ("doc_id", _S, False), ("seq", _I, False), ("text", _S, False), ("n_terms", _I, False), ("embedding", T.ArrayType(T.FloatType()), True))
+POSTINGS = _struct(("term", _S, False), ("chunk_id", _S, False), ("doc_id", _S, False), ("tf", _I, False), ("length", _I, False))

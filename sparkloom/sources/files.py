@@ -131,6 +131,18 @@ def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     return own.mapInPandas(_parse, _PARSED)
 
 
+def load_path(spark: SparkSession, path: str) -> DataFrame:
+    """path, text, error of the files below a folder, or of one file; a path that isn't there is a row with its error."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return spark.createDataFrame([(path, None, "FileNotFoundError: no such file or folder")], _PARSED)
+    if fs.getFileStatus(p).isDirectory():
+        return scan_folder(spark, path)
+    one = spark.read.format("binaryFile").load(re.sub(r"([\\*?\[\]{}])", r"\\\1", path))
+    return one.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), extension("path").alias("ext"), "content").mapInPandas(_parse, _PARSED)
+
+
 def html_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """path, text, error of pages already fetched."""
     own = pages.select(F.col(url).alias("path"), F.lit(".html").alias("ext"), F.encode(html, "UTF-8").alias("content"))
