@@ -126,7 +126,7 @@ def _places(joined: bytes, needle: bytes) -> list[int]:
 
 def scan(text: str | None, automata: dict[str, Automaton], phrases: dict[str, str] = PHRASES) -> tuple[int, list[tuple[int, str]], dict[str, tuple[int, int]], float]:
     """Number of words, places of phrases with their labels, label -> first (word, words) of the templates matched, score:
-    the largest share of a label's wording that is there: 1 for an accepted template, 0.5 for a phrase alone, else 0."""
+    1 if a template accepts a run of the text's words, 0.5 for a phrase alone, else 0."""
     words = words_of(text)
     joined = b" %b " % b" ".join(words)
     base = [(at, label) for phrase, label in phrases.items() for at in _places(joined, b" %b " % phrase.encode())]
