@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,16 +109,45 @@ def parse_bytes(data: bytes, ext: str) -> str:
 
 _PARSED = "path string, text string, error string"
 
+#: Characters gathered before rows are sent on. Spark bounds what a worker is given (10,000 rows or 64 MB at a time), but a worker
+#: that kept the texts of all of it, as it made them and as it sends them, held many times that.
+_SENT = 1 << 20
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for path, ext, data in pdf.itertuples(index=False):
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of the batches, made one at a time."""
+    for batch in batches:
+        columns = batch.columns
+        for i in range(batch.num_rows):
+            yield tuple(c[i].as_py() for c in columns)
+
+
+def _sent(rows: Iterator[tuple[str | None, str | None, str | None]]) -> Iterator[pa.RecordBatch]:
+    """Rows of _PARSED in batches that end with the row that reaches _SENT characters."""
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=["path", "text", "error"])
+
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row if x)  # rows without text take room too
+        if size >= _SENT:
+            yield batch(held)
+            held, size = [], 0
+    if held:
+        yield batch(held)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple[str | None, str | None, str | None]]:
+        for path, ext, data in _each(batches):
             try:
-                rows.append((path, parse_bytes(data, ext), None))
+                yield path, parse_bytes(data, ext), None
             except Exception as e:  # a file that can't be read is a row with its error, not a failed job
-                rows.append((path, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                yield path, None, f"{type(e).__name__}: {e}"
+
+    return _sent(rows())
 
 
 def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -128,7 +157,7 @@ def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     path = F.regexp_replace(files["path"], "^file:/*", "/")
     below = F.substring(path, len(re.sub("^file:/*", "/", root)) + 2, 1 << 20)
     own = files.select(path.alias("path"), extension(path).alias("ext"), "content").filter(extension("path").isin(*extensions) & ~hidden(below))
-    return own.mapInPandas(_parse, _PARSED)
+    return own.mapInArrow(_parse, _PARSED)
 
 
 def load_path(spark: SparkSession, path: str) -> DataFrame:
@@ -140,35 +169,38 @@ def load_path(spark: SparkSession, path: str) -> DataFrame:
     if fs.getFileStatus(p).isDirectory():
         return scan_folder(spark, path)
     one = spark.read.format("binaryFile").load(re.sub(r"([\\*?\[\]{}])", r"\\\1", path))
-    return one.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), extension("path").alias("ext"), "content").mapInPandas(_parse, _PARSED)
+    return one.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), extension("path").alias("ext"), "content").mapInArrow(_parse, _PARSED)
 
 
 def html_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """path, text, error of pages already fetched."""
     own = pages.select(F.col(url).alias("path"), F.lit(".html").alias("ext"), F.encode(html, "UTF-8").alias("content"))
-    return own.mapInPandas(_parse, _PARSED)
+    return own.mapInArrow(_parse, _PARSED)
 
 
 def fetch_urls(urls: DataFrame, column: str = "url", timeout: float = 30.0) -> DataFrame:
     """path, text, error of http(s) URLs, fetched by the executors."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fetched(url: str | None) -> str:
         from urllib.request import Request, urlopen
 
-        for pdf in batches:
-            rows = []
-            for (u,) in pdf.itertuples(index=False):
+        if not re.match("(?i)https?:", url or ""):
+            raise ValueError("not an http(s) URL")
+        with urlopen(Request(url, headers={"User-Agent": "sparkloom/1"}), timeout=timeout) as r:
+            ext = (re.search(r"\.[A-Za-z0-9]+$", url.split("?")[0].rsplit("/", 1)[-1]) or [".html"])[0].lower()
+            return parse_bytes(r.read(), ext if ext in EXTENSIONS else ".html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[str | None, str | None, str | None]]:
+            for (u,) in _each(batches):
                 try:
-                    if not re.match("(?i)https?:", u or ""):
-                        raise ValueError("not an http(s) URL")
-                    with urlopen(Request(u, headers={"User-Agent": "sparkloom/1"}), timeout=timeout) as r:
-                        ext = (re.search(r"\.[A-Za-z0-9]+$", u.split("?")[0].rsplit("/", 1)[-1]) or [".html"])[0].lower()
-                        rows.append((u, parse_bytes(r.read(), ext if ext in EXTENSIONS else ".html"), None))
+                    yield u, fetched(u), None
                 except Exception as e:
-                    rows.append((u, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                    yield u, None, f"{type(e).__name__}: {e}"
+
+        return _sent(rows())
 
-    return urls.select(column).mapInPandas(run, _PARSED)
+    return urls.select(column).mapInArrow(run, _PARSED)
 
 
 def parse_extensions(listed: str) -> tuple[str, ...]:

@@ -27,7 +27,7 @@ def file_stream(spark: SparkSession, folder: str, extensions: tuple[str, ...] =
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     path = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(path.alias("path"), extension(path).alias("ext"), "content").filter(F.col("ext").isin(*extensions) & ~hidden(F.substring_index("path", "/", -1))).mapInPandas(_parse, _PARSED)
+    return files.select(path.alias("path"), extension(path).alias("ext"), "content").filter(F.col("ext").isin(*extensions) & ~hidden(F.substring_index("path", "/", -1))).mapInArrow(_parse, _PARSED)
 
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, add: Callable[[DataFrame], object], *, available_now: bool = False) -> StreamingQuery:
